@@ -96,3 +96,28 @@ def mix64(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(factor)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bits of a membership bitmap: 16 MB, whatever the data's size.
+BITMAP_BITS = 1 << 27
+_PAGE = 1 << 15
+
+
+def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS):
+    """A broadcast bitmap of the values of a long column, by their low bits.
+
+    It has a fixed size and only spares work: a value that isn't in df may pass, so whoever uses it checks exactly
+    later. The fuller it gets, the less it spares.
+    """
+    x = F.col(col).bitwiseAND(bits - 1) + 1
+    pages = df.groupBy(F.bitmap_bucket_number(x).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in pages.toLocalIterator():
+        at = (r["page"] - 1) * _PAGE // 8
+        out[at : at + _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)[: len(out) - at]
+    return df.sparkSession.sparkContext.broadcast(out)
+
+
+def in_bitmap(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    x = values.astype(np.uint64, copy=False) & np.uint64(len(bits) * 8 - 1)
+    return (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 == 1

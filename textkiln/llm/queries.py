@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.llm import decontamination, knn, language_id, line_dedup, packing, pii, sharding, token_counts
+from textkiln.llm import decontamination, knn, language_id, line_dedup, packing, pii, sharding, substring_dedup, token_counts
 from textkiln.llm.common import table
 
 
@@ -57,6 +57,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens_before", "n_tokens", F.size("leaf_chars").cast("long").alias("n_leaves"), F.col("n_edits").cast("long").alias("n_edits"), "n_reencoded_chars", F.sha2(F.array_join("tree", ","), 256).alias("tree_sha256"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
