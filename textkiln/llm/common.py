@@ -46,7 +46,16 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    return write_table(df, work_path(df.sparkSession, name))
+    path = work_path(df.sparkSession, name)
+    out = write_table(df, path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
 
 
 def schema_with(df: DataFrame, more: str) -> T.StructType:
