@@ -1,9 +1,266 @@
-"""The registered queries and their SQL."""
+"""The registered queries over the test tables, and their DuckDB SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textkiln.functions.text import fingerprint, token_count
+from textkiln.operators import codec, density, facts, ledger, lines, savings
+from textkiln.plans import runs
+from textkiln.sources import captures, profiles
+
+AS_OF = "2024-01-31 00:00:00"
+COMMANDS = [*profiles.BUILT_IN, "make all"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+
+
+def _lined(make):
+    return lambda spark, d: _docs(spark, d).select("doc_id", F.array_join(make(lines.lines_of(F.col("text"))), "\n").alias("out"))
+
+
+def _commands() -> Column:
+    return F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("doc_id") % len(COMMANDS) + 1).cast("int"))
+
+
+def _program(text: str, stages: list[lines.Stage]):
+    return lambda spark, d: _docs(spark, d).select("doc_id", lines.run(F.col(text), stages).alias("out"))
+
+
+def _ansi(spark, d):
+    text = F.concat(F.lit("\x1b[31m"), "text", F.lit("\x1b[0m"))
+    return _docs(spark, d).select("doc_id", lines.run(text, [lines.Stage("strip_ansi")]).alias("out"))
+
+
+def _resolve(spark, d):
+    return _docs(spark, d).select("doc_id", _commands().alias("command"), profiles.resolve(_commands()).alias("profile"))
+
+
+def _builtin(spark, d):
+    return _docs(spark, d).select("doc_id", profiles.apply(_commands(), F.col("text")).alias("out"))
+
+
+def _scores(spark, d):
+    return density.scored_lines(_docs(spark, d), "doc_id").select("doc_id", "line_no", "score", "kept")
+
+
+def _drops(spark, d):
+    return _docs(spark, d).select("doc_id", F.array_join(density.drop_indices(F.col("text")).cast("array<string>"), ",").alias("drops"))
+
+
+def _collapse(spark, d):
+    return _docs(spark, d).select("doc_id", density.collapse(F.col("text")).alias("out"))
+
+
+def _fingerprint(spark, d):
+    return _docs(spark, d).select("doc_id", fingerprint(F.col("text")).alias("fp"))
+
+
+def _ledger(spark, d):
+    r = _docs(spark, d).select("doc_id", F.col("lang").alias("session_id"), (F.lit(0) + F.col("doc_id")).cast("timestamp").alias("ts"), F.col("text").alias("raw_output"))
+    out = ledger.ledger(r, order=["doc_id"])
+    return out.select("doc_id", "turn", "first_turn", "deduped")
+
+
+def _ttl(spark, d):
+    e = _table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("fingerprint"))
+    out = ledger.ledger(e, text=None, order=["ts", "event_id"])
+    return out.select("event_id", "turn", "first_turn", "deduped")
+
+
+def _facts(spark, d) -> DataFrame:
+    e = _table(spark, d, "events")
+    f = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.col("props").alias("object"), F.col("ts").alias("valid_from"))
+    return facts.history(f, order=["id"])
+
+
+def _asof(spark, d):
+    probes = _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("who"), F.lit(AS_OF).cast("timestamp_ntz").alias("at"))
+    return facts.as_of(_facts(spark, d), probes, "who").select("id", "subject", "predicate", "object")
+
+
+def _keyword(spark, d):
+    return facts.keyword_search(_facts(spark, d), "click 1").select("id", "subject", "predicate", "object", "score")
+
+
+def _render(spark, d):
+    f = facts.keyword_search(_facts(spark, d), "click 1")
+    return f.select("id", facts.rendered().alias("plain"), facts.rendered(True).alias("scored"))
+
+
+def _remember(spark, d):
+    c = _table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") > 0, F.col("role")).alias("subject"), F.lit(None).cast("string").alias("scope"), F.col("text").alias("object"))
+    return facts.remembered(c).select("conv_id", "turn", "subject", "predicate", "object", "scope", "kind")
+
+
+def _log(spark, d):
+    e = _table(spark, d, "events")
+    raw = F.floor("value").cast("long")
+    return e.select("event_id", F.col("ts").alias("timestamp"), F.col("event_type").alias("command"), F.col("user_id").cast("string").alias("session_id"), raw.alias("raw_tokens"), F.floor(F.col("value") / 4).cast("long").alias("output_tokens"), (F.col("event_id") % 3).alias("memories_used"))
+
+
+def _savings_log(spark, d):
+    return _log(spark, d).select("event_id", "raw_tokens", "output_tokens", savings.ratio(F.col("raw_tokens"), F.col("output_tokens")).alias("ratio"))
+
+
+def _report(spark, d):
+    return savings.report(_log(spark, d), AS_OF)
+
+
+def _response(spark, d):
+    out = lines.run(F.col("text"), [lines.Stage("head_tail", max_lines=6)])
+    raw, o = token_count(F.col("text")), token_count(out)
+    return _docs(spark, d).select("doc_id", raw.alias("raw_tokens"), o.alias("output_tokens"), F.greatest(F.lit(0).cast("long"), raw - o).alias("tokens_saved"), savings.ratio(raw, o).alias("ratio"))
+
+
+def _roundtrip(spark, d):
+    c = codec.compress(_docs(spark, d).withColumn("drops", density.drop_indices(F.col("text"))), "text", "drops")
+    return codec.expand(c, "compressed", codec.store(c)).select("doc_id", F.col("expanded").alias("text"))
+
+
+def _refs(spark, d):
+    return codec.store(codec.compress(_docs(spark, d).withColumn("drops", density.drop_indices(F.col("text"))), "text", "drops"))
+
+
+def _cap(spark, d):
+    t = F.col("text")
+    return _docs(spark, d).select("doc_id", captures.exceeds(t, 1000).alias("capped"), captures.with_error(captures.capped(t, 1000), F.when(F.col("doc_id") % 5 == 0, F.lit("failed"))).alias("out"))
+
+
+def _responses(spark, d):
+    r = _docs(spark, d).select("doc_id", F.col("lang").alias("session_id"), F.col("doc_id").cast("timestamp").alias("ts"), _commands().alias("command"), F.col("text").alias("raw_output"))
+    return runs.respond(r, order=["doc_id"])
+
+
+def _pipeline(spark, d):
+    return _responses(spark, d).select("doc_id", "turn", "deduped", "raw_tokens", "truncated", F.length("filtered").alias("filtered_chars"), F.size("drops").alias("n_drops"))
+
+
+def _rollup(spark, d):
+    return savings.by_command(_log(spark, d).drop("event_id"))
 
 
 def queries() -> dict:
-    return {}
+    s = lines.Stage
+    return {
+        "strip_ansi": _ansi,
+        "regex_replace": _lined(lambda x: lines.regex_replace(x, r"th(e|a)", r"<\1>")),
+        "regex_drop": _lined(lambda x: lines.regex_drop(x, "#|the ")),
+        "regex_keep": _lined(lambda x: lines.regex_keep(x, "^[A-M]")),
+        "line_dedup": _lined(lines.line_dedup),
+        "head_tail": _program("text", [s("head_tail", max_lines=6)]),
+        "smart_truncate": _program("text", [s("smart_truncate", max_lines=8, head_ratio=0.3)]),
+        "smart_truncate_priority": _program("text", [s("smart_truncate", max_lines=6, head_ratio=0.4, priority_lines="^[A-E]")]),
+        "on_empty": _program("text", [s("regex_keep", pattern="#"), s("on_empty", fallback="[none]")]),
+        "profile_resolve": _resolve,
+        "builtin_filters": _builtin,
+        "score_lines": _scores,
+        "drop_indices": _drops,
+        "collapse_dropped": _collapse,
+        "fingerprint": _fingerprint,
+        "dedup_ledger": _ledger,
+        "dedup_ttl": _ttl,
+        "facts_scd2": lambda spark, d: _facts(spark, d).select("id", "subject", "predicate", "object", "valid_from", "valid_until"),
+        "facts_active": lambda spark, d: facts.active(_facts(spark, d)).select("id", "subject", "predicate", "object"),
+        "facts_asof": _asof,
+        "facts_keyword": _keyword,
+        "facts_render": _render,
+        "remember_defaults": _remember,
+        "savings_log": _savings_log,
+        "savings_period": lambda spark, d: savings.report(_log(spark, d), AS_OF, ("week",)),
+        "savings_report": _report,
+        "savings_rollup": _rollup,
+        "token_count": lambda spark, d: _docs(spark, d).select("doc_id", token_count(F.col("text")).alias("tokens")),
+        "run_response": _response,
+        "expand_roundtrip": _roundtrip,
+        "external_store_refs": _refs,
+        "output_cap": _cap,
+        "run_pipeline": _pipeline,
+    }
+
+
+_LINES = "l AS (SELECT doc_id, text, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i, len(a) AS n FROM (SELECT doc_id, text, string_split(text, chr(10)) AS a FROM documents))"
+_COMMAND = "[" + ", ".join(f"'{c}'" for c in COMMANDS) + f"][doc_id % {len(COMMANDS)} + 1]"
+_NOTICE = "'... [Truncated. Full output saved to tee:' || sha256(text) || ']'"
+_KEEP = "|".join(density.KEEP).replace("'", "''")
+_DROP = "|".join(density.DROP).replace("'", "''")
+_SCORED = f"""{_LINES}, s AS (SELECT *, CASE WHEN trim(line) = '' THEN 0.0::DOUBLE WHEN regexp_matches(line, '(?i){_KEEP}') THEN 1.0::DOUBLE
+  WHEN regexp_matches(line, '{_DROP}') THEN 0.05::DOUBLE
+  ELSE 0.3::DOUBLE + least(length(trim(line)) / 100.0::DOUBLE, 0.7::DOUBLE) + CASE WHEN line LIKE ' %' THEN 0.1::DOUBLE ELSE 0.0::DOUBLE END END AS score FROM l),
+k AS (SELECT *, n <= 10 OR score >= 0.9::DOUBLE OR row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) <= greatest(5, n // 2) AS kept FROM s)"""
+_FACTS = """e AS (SELECT event_id AS id, user_id::VARCHAR AS subject, event_type AS predicate, props AS object, ts AS valid_from FROM events),
+c AS (SELECT *, lag(object) OVER w AS b, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY subject, predicate ORDER BY valid_from, id)),
+h AS (SELECT id, subject, predicate, object, valid_from, lead(valid_from) OVER (PARTITION BY subject, predicate ORDER BY valid_from, id) AS valid_until FROM c WHERE n = 1 OR object IS DISTINCT FROM b)"""
+_SEARCH = f"""WITH {_FACTS}, t AS (SELECT *, ((contains(lower(subject || ' ' || predicate || ' ' || object), 'click'))::INT + (contains(lower(subject || ' ' || predicate || ' ' || object), '1'))::INT) / 2.0::DOUBLE AS score
+FROM h WHERE valid_until IS NULL), r AS (SELECT * FROM t WHERE score > 0 ORDER BY score DESC, id LIMIT 5)"""
+_LOG = "g AS (SELECT event_id, ts, event_type AS command, user_id::VARCHAR AS session_id, floor(value)::BIGINT AS raw, floor(value / 4)::BIGINT AS out, event_id % 3 AS mem FROM events)"
+
+
+def _joined(f: str) -> str:
+    return f"SELECT doc_id, array_to_string({f}, chr(10)) AS out FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)"
+
+
+def _cut_sql(m: int, ratio: float, priority: str | None = None) -> str:
+    head = int(m * ratio)
+    p = f"regexp_matches(line, '{priority}')" if priority else "false"
+    return f"""WITH {_LINES}, f AS (SELECT *, {p} AS p FROM l),
+r AS (SELECT *, sum(p::INT) OVER (PARTITION BY doc_id) AS np, row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS a, row_number() OVER (PARTITION BY doc_id, p ORDER BY i DESC) AS b FROM f),
+x AS (SELECT *, CASE WHEN n <= {m} THEN true WHEN np > {m} THEN p AND (a <= {head} OR b <= {m - head})
+  ELSE p OR a <= floor(({m} - np) * {ratio}::DOUBLE) OR b <= {m} - np - floor(({m} - np) * {ratio}::DOUBLE) END AS kept FROM r)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY i) || CASE WHEN any_value(n) > {m} THEN chr(10) || {_NOTICE.replace("text", "any_value(text)")} ELSE '' END AS out FROM x WHERE kept GROUP BY doc_id"""
+
+
+def _period_sql(periods: tuple[str, ...]) -> str:
+    rows = []
+    for p in periods:
+        where = f"ts >= TIMESTAMP '{AS_OF}' - INTERVAL {savings.PERIODS[p] * 24} HOUR" if p in savings.PERIODS else "true"
+        rows.append(f"SELECT '{p}' AS period, count(*) AS runs, coalesce(sum(raw), 0)::BIGINT AS raw_tokens, coalesce(sum(out), 0)::BIGINT AS output_tokens, coalesce(sum(mem), 0)::BIGINT AS memories_used FROM g WHERE {where}")
+    return f"WITH {_LOG}, p AS ({' UNION ALL '.join(rows)}) SELECT *, raw_tokens - output_tokens AS saved_tokens, CASE WHEN raw_tokens > 0 THEN (raw_tokens - output_tokens)::DOUBLE / raw_tokens::DOUBLE * 100 ELSE 0.0::DOUBLE END AS reduction_pct FROM p"
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    turn = "row_number() OVER (PARTITION BY lang ORDER BY doc_id)"
+    return {
+        "strip_ansi": "SELECT doc_id, regexp_replace(chr(27) || '[31m' || text || chr(27) || '[0m', '\\x1B\\[[0-9;]*m', '', 'g') AS out FROM documents",
+        "regex_replace": r"SELECT doc_id, regexp_replace(text, 'th(e|a)', '<\1>', 'g') AS out FROM documents",
+        "regex_drop": _joined("list_filter(a, lambda x: NOT regexp_matches(x, '#|the '))"),
+        "regex_keep": _joined("list_filter(a, lambda x: regexp_matches(x, '^[A-M]'))"),
+        "line_dedup": f"WITH {_LINES}, f AS (SELECT doc_id, line, min(i) AS i FROM l GROUP BY doc_id, line) SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS out FROM f GROUP BY doc_id",
+        "head_tail": _cut_sql(6, 0.5),
+        "smart_truncate": _cut_sql(8, 0.3),
+        "smart_truncate_priority": _cut_sql(6, 0.4, "^[A-E]"),
+        "on_empty": "SELECT doc_id, CASE WHEN len(k) = 0 THEN '[none]' ELSE array_to_string(k, chr(10)) END AS out FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: contains(x, '#')) AS k FROM documents)",
+        "profile_resolve": f"SELECT doc_id, {_COMMAND} AS command, nullif({_COMMAND}, 'make all') AS profile FROM documents",
+        "score_lines": f"WITH {_SCORED} SELECT doc_id, i::INT AS line_no, score, kept FROM k",
+        "drop_indices": f"WITH {_SCORED} SELECT doc_id, coalesce(string_agg(i::VARCHAR, ',' ORDER BY i) FILTER (WHERE NOT kept), '') AS drops FROM k GROUP BY doc_id",
+        "collapse_dropped": f"""WITH {_SCORED}, g AS (SELECT *, sum(kept::INT) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM k),
+u AS (SELECT doc_id, i, line FROM g WHERE kept UNION ALL SELECT doc_id, min(i), '... [' || count(*) || ' lines dropped] ...' FROM g WHERE NOT kept GROUP BY doc_id, island)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS out FROM u GROUP BY doc_id""",
+        "fingerprint": "SELECT doc_id, CASE WHEN length(text) = 0 THEN 'sha256:' || sha256(text) ELSE 'sha256:' || length(text) || ':' || sha256(text) END AS fp FROM documents",
+        "dedup_ledger": f"WITH t AS (SELECT doc_id, text, lang, ({turn})::INT AS turn FROM documents) SELECT doc_id, turn, (min(turn) OVER (PARTITION BY lang, text))::INT AS first_turn, turn > min(turn) OVER (PARTITION BY lang, text) AS deduped FROM t",
+        "dedup_ttl": """WITH t AS (SELECT event_id, user_id, event_type, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS turn FROM events),
+f AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 604800000000)::INT, 1) AS fresh FROM t WINDOW w AS (PARTITION BY user_id, event_type ORDER BY turn)),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY turn) AS epoch FROM f)
+SELECT event_id, turn, min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS first_turn, turn > min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS deduped FROM e""",
+        "facts_scd2": f"WITH {_FACTS} SELECT * FROM h",
+        "facts_active": f"WITH {_FACTS} SELECT id, subject, predicate, object FROM h WHERE valid_until IS NULL",
+        "facts_asof": f"WITH {_FACTS} SELECT id, subject, predicate, object FROM h JOIN customer ON c_custkey::VARCHAR = subject WHERE valid_from <= TIMESTAMP '{AS_OF}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{AS_OF}')",
+        "facts_keyword": f"{_SEARCH} SELECT id, subject, predicate, object, score FROM r",
+        "facts_render": f"{_SEARCH} SELECT id, '- ' || subject || ' ' || predicate || ' ' || object AS plain, '- ' || subject || ' ' || predicate || ' ' || object || printf(' (score: %.2f)', score) AS scored FROM r",
+        "remember_defaults": "SELECT conv_id, turn, CASE WHEN turn > 0 THEN role ELSE 'unknown' END AS subject, 'is' AS predicate, coalesce(text, '') AS object, 'global' AS scope, 'fact' AS kind FROM conversations",
+        "savings_log": f"WITH {_LOG} SELECT event_id, raw AS raw_tokens, out AS output_tokens, CASE WHEN raw > 0 THEN out::DOUBLE / raw::DOUBLE ELSE 1.0::DOUBLE END AS ratio FROM g",
+        "savings_period": _period_sql(("week",)),
+        "savings_report": _period_sql(("day", "week", "month", "all")),
+        "savings_rollup": f"WITH {_LOG} SELECT session_id, command, count(*) AS runs, sum(raw)::BIGINT AS raw_tokens, sum(out)::BIGINT AS output_tokens FROM g GROUP BY ROLLUP (session_id, command)",
+        "token_count": "SELECT doc_id, length(text) // 4 AS tokens FROM documents",
+        "run_response": f"WITH c AS ({_cut_sql(6, 0.5)}), t AS (SELECT doc_id, length(text) // 4 AS raw_tokens, length(out) // 4 AS output_tokens FROM documents JOIN c USING (doc_id)) SELECT *, greatest(0, raw_tokens - output_tokens) AS tokens_saved, CASE WHEN raw_tokens > 0 THEN output_tokens::DOUBLE / raw_tokens::DOUBLE ELSE 1.0::DOUBLE END AS ratio FROM t",
+        "expand_roundtrip": "SELECT doc_id, text FROM documents",
+        "output_cap": f"SELECT doc_id, strlen(text) > 1000 AS capped, CASE WHEN strlen(text) > 1000 THEN text[1:1000] || '{captures.CAP_NOTICE}' ELSE text END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || 'failed' ELSE '' END AS out FROM documents",
+    }
