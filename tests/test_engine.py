@@ -1,6 +1,7 @@
 """Operators against small cases, with the traps of moving text rules to Spark."""
 
 import datetime as dt
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,7 +87,7 @@ def test_scores(spark):
 
 def test_codec(spark):
     cases = [("\n".join(f"line {i} é" * (i % 3) for i in range(n)), d) for n in (1, 4, 5, 9) for d in ([], [0], [1, 3], [0, 2, 4], [9, 0, 0])]
-    cases += [("\n".join("long line " * 50 + str(i * i) for i in range(20)), list(range(2, 8))), ("[...2 lines compressed: irc:abc...]\nb", [1]), (None, [1]), ("a", None)]
+    cases += [("\n".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(20)), list(range(2, 8))), ("[...2 lines compressed: irc:abc...]\nb", [1]), (None, [1]), ("a", None)]
     df = spark.createDataFrame([(i, t, d) for i, (t, d) in enumerate(cases)], "id int, text string, drops array<int>")
     c = codec.compress(df, "text", "drops")
     out = {r["id"]: r["expanded"] for r in codec.expand(c, "compressed", codec.store(c)).collect()}
