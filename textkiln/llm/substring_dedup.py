@@ -2,9 +2,10 @@
 
 Two equal strings of `length` bytes hold the same least hash of their GRAM-byte substrings, an anchor, at the same
 place. So it is enough to look at each anchor with its context, as far as such a string can reach around it:
-1. Anchors are counted; a bitmap of fixed size lets through those met more than once.
-2. Of occurrences with equal anchor and context the first is the leader; the others are covered wholly.
-3. Leaders of one anchor with different contexts meet in a task, which builds the suffix array of their contexts up
+1. Of equal texts only the first is looked at; the others are covered wholly.
+2. Anchors are counted; a bitmap of fixed size lets through those met more than once.
+3. Of occurrences with equal anchor and context the first is the leader; the others' contexts are covered.
+4. Leaders of one anchor with different contexts meet in a task, which builds the suffix array of their contexts up
    to `length` bytes. Suffixes that share that much stand together; one of them has an earlier match (a previous or
    next smaller position in suffix order) unless it is the smallest of its run. An anchor with more than MOST
    contexts is spread instead: its leaders' strings are grouped by 128-bit hashes.
@@ -73,23 +74,31 @@ def anchors(b: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return pos, np.concatenate(hs) if hs else np.zeros(0, np.uint64), np.searchsorted(offsets, pos, "right") - 1
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            h, n = np.unique(anchors(*raw_bytes(part.column("text")))[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "n"])
+def _without(part: pa.RecordBatch, copied) -> pa.RecordBatch:
+    """Leaves out the texts that may have copies; these are read from a table of first ones."""
+    return part if copied is None else part.filter(pa.array(~in_bitmap(copied.value, part.column("h1").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+
+def _counts(copied):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(_without(batch, copied), "text"):
+                h, n = np.unique(anchors(*raw_bytes(part.column("text")))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "n"])
+
+    return run
 
 
-def _occurrences(bits, contexts: bool):
-    """The anchors that the bitmap lets through: hash a, hash c of the context, its place; with contexts also its
-    bytes, and then one row for equal contexts of a slice, the first, with their number."""
+def _occurrences(copied, met, mixed=None, firsts: bool = True):
+    """The anchors in the bitmap `met`: hash a, hash c of the context, its place. With firsts, equal contexts of a
+    slice give one row, the first, and their number. With mixed, only contexts in that bitmap, and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(_without(batch, copied), "text"):
                 b, offsets = raw_bytes(part.column("text"))
                 pos, a, doc = anchors(b, offsets)
-                may = in_bitmap(bits.value, a)
+                may = in_bitmap(met.value, a)
                 pos, a, doc = pos[may], a[may], doc[may]
                 start, end = offsets[doc], offsets[doc + 1]
                 lo, hi = np.maximum(pos - (LENGTH - GRAM), start), np.minimum(pos + LENGTH, end)
@@ -98,26 +107,40 @@ def _occurrences(bits, contexts: bool):
                     c = mix64(c + h[np.clip(pos + shift, lo, hi - GRAM)] + np.uint64(k)) if len(c) else c
                 ids, h1 = part.column("doc").to_numpy(zero_copy_only=False)[doc], part.column("h1").to_numpy(zero_copy_only=False)[doc]
                 cols = {"a": a.view(np.int64), "c": c.view(np.int64), "doc": ids, "h1": h1, "lo": lo - start, "len": (hi - lo).astype(np.int32)}
-                if contexts:
-                    order = np.lexsort((lo - start, h1, ids, c, a))
+                if mixed is not None:
+                    may = in_bitmap(mixed.value, c)
+                    cols, lo, hi = {k: v[may] for k, v in cols.items()}, lo[may], hi[may]
+                if firsts:
+                    order = np.lexsort((cols["lo"], cols["h1"], cols["doc"], cols["c"], cols["a"]))
                     new = np.ones(len(order), bool)
-                    new[1:] = (np.diff(a[order]) != 0) | (np.diff(c[order]) != 0)
-                    firsts = order[new]
-                    cols = {k: v[firsts] for k, v in cols.items()}
-                    cols["n"] = np.diff(np.append(np.flatnonzero(new), len(order)))
+                    new[1:] = (np.diff(cols["a"][order]) != 0) | (np.diff(cols["c"][order]) != 0)
+                    one = order[new]
+                    cols, lo, hi = {k: v[one] for k, v in cols.items()}, lo[one], hi[one]
+                    if mixed is None:
+                        cols["n"] = np.diff(np.append(np.flatnonzero(new), len(order)))
+                out = {k: pa.array(v) for k, v in cols.items()}
+                if mixed is not None:
                     raw = b.tobytes()
-                    ctx = pa.array([raw[x:y] for x, y in zip(lo[firsts].tolist(), hi[firsts].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols.values()), ctx], [*cols, "ctx"])
-                else:
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols.values())), list(cols))
+                    out["ctx"] = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
 
 
 PLACE = "a long, c long, doc long, h1 long, lo long, len int"
+#: Bits of the bitmap of texts that have copies; 4 MB.
+COPY_BITS = 1 << 25
 RANGES = "doc long, h1 long, start long, end long"
 
 
+def _maybe_copied(copied):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(copied.value, batch.column("h1").to_numpy(zero_copy_only=False).view(np.uint64))))
+
+    return run
+
+
 def suffix_ranks(b: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """The ranks of the suffixes at starts in suffix order, compared up to length (at least 8) bytes; equal ones
     share a rank. By prefix doubling; every suffix at starts must have length bytes."""
@@ -226,19 +249,36 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "doc", "h1", "ranges")
     src = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h1": F.xxhash64(F.coalesce("text", F.lit("")))})
     texts = src.select("doc", "h1", "text").filter(F.octet_length("text") >= LENGTH)
-    counts = texts.select("text").mapInArrow(_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    bits = bitmap(counts.filter("n > 1"), "a")
-    met = texts.mapInArrow(_occurrences(bits, True), f"{PLACE}, n long, ctx binary").groupBy("a", "c")
-    least = met.agg(F.min(F.struct("doc", "h1", "lo", "len", "ctx")).alias("s"), F.sum("n").alias("n"))
-    leaders = materialise(least.select("a", "c", "s.*", "n"), "repeat-leaders")
-    copied = leaders.filter("n > 1").select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
-    again = texts.mapInArrow(_occurrences(bits, False), PLACE).join(copied, ["a", "c"])
+    # Equal texts: the first one stands for all, the others are covered from end to end.
+    equal = texts.groupBy("h1").agg(F.min("doc").alias("d0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "d0")
+    equal = materialise(equal, "equal-texts")
+    copied = bitmap(equal, "h1", COPY_BITS)
+    maybe = texts.mapInArrow(_maybe_copied(copied), "doc long, h1 long, text string").join(equal, "h1", "left")
+    heads = materialise(maybe.filter("d0 is null or doc = d0").select("doc", "h1", "text").dropDuplicates(["doc", "h1"]), "first-texts")
+    whole = src.select("doc", "h1", F.octet_length("text").cast("long").alias("end")).filter(F.col("end") >= LENGTH).join(equal, "h1").filter("doc <> d0").select("doc", "h1", F.lit(0).cast("long").alias("start"), "end")
+
+    def over(make, schema: str) -> DataFrame:
+        return texts.mapInArrow(make(copied), schema).unionByName(heads.mapInArrow(make(None), schema))
+
+    counts = over(_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    met = bitmap(counts.filter("n > 1"), "a")
+    found = over(lambda skip: _occurrences(skip, met), f"{PLACE}, n long").groupBy("a", "c")
+    leaders = materialise(found.agg(F.min(F.struct("doc", "h1", "lo")).alias("s"), F.sum("n").alias("n")).select("a", "c", "s.*", "n"), "repeat-leaders")
+    led = leaders.filter("n > 1").select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
+    again = over(lambda skip: _occurrences(skip, met, firsts=False), PLACE).join(led, ["a", "c"])
     again = again.filter("not (doc = d0 and h1 = h0 and lo = l0)").select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end"))
-    several = leaders.groupBy("a").count().filter("count > 1").withColumnRenamed("count", "contexts")
-    mixed = leaders.select("a", "doc", "h1", "lo", "len", "ctx").join(several, "a")
-    local = mixed.filter(F.col("contexts") <= most).drop("contexts").repartition("a").sortWithinPartitions("a").mapInArrow(_local, RANGES)
-    strings = mixed.filter(F.col("contexts") > most).select("doc", "h1", "lo", "ctx").mapInArrow(_strings, "w1 long, w2 long, doc long, h1 long, start long")
-    first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "h1", "start")).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spread = strings.join(first, ["w1", "w2"]).filter("not (doc = s.doc and h1 = s.h1 and start = s.start)").select("doc", "h1", "start", (F.col("start") + LENGTH).alias("end"))
-    ranges = again.unionByName(local).unionByName(spread).distinct().groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    # Contexts of anchors that have several. What else their bitmap lets through does no harm: equal strings are equal.
+    several = materialise(leaders.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "mixed-anchors")
+    mixed = bitmap(leaders.select("a", "c").join(several, "a"), "c")
+    contexts = over(lambda skip: _occurrences(skip, met, mixed), f"{PLACE}, ctx binary")
+    hot = several.filter(F.col("contexts") > most).select("a")
+    local, spread = contexts, None
+    if not hot.isEmpty():
+        local = contexts.join(hot, "a", "left_anti")
+        strings = contexts.join(hot, "a", "left_semi").select("doc", "h1", "lo", "ctx").mapInArrow(_strings, "w1 long, w2 long, doc long, h1 long, start long")
+        first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "h1", "start")).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        spread = strings.join(first, ["w1", "w2"]).filter("not (doc = s.doc and h1 = s.h1 and start = s.start)").select("doc", "h1", "start", (F.col("start") + LENGTH).alias("end"))
+    local = local.repartition("a").sortWithinPartitions("a").mapInArrow(_local, RANGES)
+    again = again.unionByName(whole) if spread is None else again.unionByName(whole).unionByName(spread)
+    ranges = again.unionByName(local).distinct().groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     return src.join(ranges, ["doc", "h1"], "left").select(*src.columns, "ranges").mapInArrow(_cut, schema_with(docs, "n_bytes long, n_removed long, n_spans long, kept binary"))
