@@ -7,9 +7,11 @@ agree in a slot with the probability of their weighted Jaccard similarity. Proce
 last slot, so long texts need few points a shingle.
 
 Texts that agree in all slots of a band share a bucket. In each bucket one member, the pivot, is compared exactly
-with the others; linked texts merge into components. What a bucket still has in different components gets another
-pivot, the member with most links; after ROUNDS pivots all pairs that are still open are compared. So every link that
-bands propose and that would join two components is tested, without the pairs within a component.
+with the others; linked texts merge into components. Members that cannot be similar to anything else in the bucket
+leave it: a shingle that no other open text holds is shared with none, which bounds a text's overlap. What a bucket
+still has in different components gets another pivot, the member with most links; after ROUNDS pivots the pairs that
+are still open are compared. So every link that bands propose and that would join two components is tested, without
+the pairs within a component.
 """
 
 from __future__ import annotations
@@ -140,6 +142,28 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["p", "x", "sim"])
 
 
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            own, items, counts = shingles(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own)), pa.array(items.view(np.int64)), pa.array(counts.astype(np.int64))], ["node", "item", "n"])
+
+
+def _bounds(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, size (shingles) and most (how many of them another of these texts can share)."""
+    items = texts.join(nodes, "node", "left_semi").mapInArrow(_items, "node long, item long, n long")
+    once = items.groupBy("item").agg(F.count(F.lit(1)).alias("in"), F.min("node").alias("node"), F.min("n").alias("n")).filter("in = 1")
+    lone = once.groupBy("node").agg(F.sum("n").alias("lone"))
+    sizes = items.groupBy("node").agg(F.sum("n").alias("size"))
+    return sizes.join(lone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("most"))
+
+
+def _may(similarity: float, size, most, other_size, other_most=None):
+    """Whether an overlap of the least of most and other_most can reach the similarity."""
+    o = F.least(most, other_size) if other_most is None else F.least(most, other_most)
+    return o * (1 + similarity) >= (size + other_size) * similarity - 1e-9
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """p, x, sim of pairs (p, x). Each x is sent once a pair; a pivot once a part, so many partners mean many tasks."""
     n = pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n"))
@@ -163,25 +187,38 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     scratch = [members, texts, materialise(_verify(pairs, texts), "tested-pairs")]
     tested = scratch[-1]
     linked = lambda: tested.filter(F.col("sim") >= similarity).select(F.col("p").alias("u"), F.col("x").alias("v"))
-    comps = components(linked())
+    comps, bounds = components(linked()), None
     for left in range(ROUNDS, -1, -1):
         # What was the pivot is settled; a bucket goes on while the others are in several components.
         rest = members.filter("node <> p").select("b", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
-        rest = materialise(rest.join(several, "b"), "open-buckets")
+        rest = rest.join(several, "b")
+        if bounds is None and not several.isEmpty():
+            bounds = materialise(_bounds(rest.select("node").distinct(), texts), "overlap-bounds")
+            scratch.append(bounds)
+        if bounds is not None:
+            # A text shares at most `most` shingles, and most with a text of just these; the least one here is nearest.
+            rest = rest.join(bounds, "node")
+            sizes = rest.groupBy("b").agg(F.min("size").alias("least"))
+            rest = rest.join(sizes, "b").filter(_may(similarity, F.col("size"), F.col("most"), F.greatest("least", "most"))).drop("least")
+            several = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
+            rest = rest.join(several, "b")
+        rest = materialise(rest, "open-buckets")
         scratch.append(rest)
         if rest.isEmpty():
             break
         if left:
             degree = linked().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-            rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("node").alias("h"), "node", "comp")
+            rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("node").alias("h"), "node", "comp", "size", "most")
             best = rest.join(degree, "node", "left").groupBy("b").agg(F.max(rank).alias("s"))
-            members = materialise(rest.join(best.select("b", F.col("s.node").alias("p"), F.col("s.comp").alias("own")), "b"), "bucket-members")
+            members = rest.join(best.select("b", F.col("s.node").alias("p"), F.col("s.comp").alias("own"), F.col("s.size").alias("p_size"), F.col("s.most").alias("p_most")), "b")
+            members = materialise(members, "bucket-members")
             scratch.append(members)
-            pairs = members.filter("comp <> own").select("p", F.col("node").alias("x"))
+            pairs = members.filter("comp <> own")
         else:
-            other = rest.select("b", F.col("node").alias("x"), F.col("comp").alias("own"))
-            pairs = rest.join(other, "b").filter("comp <> own and node < x").select(F.col("node").alias("p"), "x")
+            other = rest.select("b", F.col("node").alias("x"), F.col("comp").alias("own"), F.col("size").alias("p_size"), F.col("most").alias("p_most"))
+            pairs = rest.join(other, "b").filter("comp <> own and node < x").withColumn("p", F.col("x"))
+        pairs = pairs.filter(_may(similarity, F.col("size"), F.col("most"), F.col("p_size"), F.col("p_most"))).select("p", F.col("node").alias("x"))
         ordered = {"u": F.least("p", "x"), "v": F.greatest("p", "x")}
         done = tested.withColumns(ordered).select("u", "v").distinct()
         pairs = pairs.withColumns(ordered).dropDuplicates(["u", "v"]).join(done, ["u", "v"], "left_anti").select("p", "x")
