@@ -26,8 +26,8 @@ from textkiln.llm.common import bitmap, extended, in_bitmap, materialise, mix64,
 LENGTH, GRAM = 100, 32
 #: Positions that are hashed at a time.
 BLOCK = 1 << 18
-#: Contexts of one anchor that one task compares; and contexts whose suffixes are sorted together.
-MOST, CHUNK = 4096, 8192
+#: Contexts of one anchor that one task compares (their suffixes take about 300 MB); and contexts whose suffixes are sorted together.
+MOST, CHUNK = 32_768, 8192
 FACTOR = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(0x5EED)
 BYTE_CODES = _rng.integers(0, 1 << 63, 256, np.uint64)
