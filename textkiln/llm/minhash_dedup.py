@@ -36,6 +36,8 @@ ROUNDS = 5
 PARTNERS = 512
 #: Bits of the bitmap of texts that have candidates; 4 MB.
 BITS = 1 << 25
+#: Bytes of text that are hashed into shingles at a time.
+SLICE = 2 << 20
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _LOW64 = (1 << 64) - 1
 
@@ -92,7 +94,7 @@ def signatures(own: np.ndarray, items: np.ndarray, counts: np.ndarray, n_texts:
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a distinct text of a slice: its hash and its bucket numbers (none without words)."""
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             h1 = part.column("h1").to_numpy()
             distinct, first = np.unique(h1, return_index=True)
             own, items, counts = shingles(part.column("text").take(pa.array(first)))
@@ -124,7 +126,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by pivot and part, the pivot's own text (other is null) first: similarity of the others."""
     key, pivot = None, None
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             own, items, counts = shingles(part.column("text"))
             cut = np.searchsorted(own, np.arange(len(part) + 1))
             out = []
@@ -144,7 +146,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             own, items, counts = shingles(part.column("text"))
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own)), pa.array(items.view(np.int64)), pa.array(counts.astype(np.int64))], ["node", "item", "n"])
 
@@ -177,8 +179,13 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """node, comp of texts (h1, text) that are linked to others; a component is named by its smallest node."""
     banded = src.select("h1", "text").mapInArrow(_banded, "node long, buckets array<long>").dropDuplicates(["node"])
     members = banded.select("node", F.explode("buckets").alias("b"))
-    shared = members.groupBy("b").agg(F.min("node").alias("p"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    members = materialise(members.join(shared, "b"), "bucket-members")
+    shared = members.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    many = materialise(members.join(shared, "b"), "shared-buckets")
+    # The first pivot is the member that meets most others over all bands: near copies' common source, if there is one.
+    meets = many.groupBy("node").agg(F.sum("n").alias("meets"))
+    pivots = many.join(meets, "node").groupBy("b").agg(F.max(F.struct("meets", "node")).alias("s")).select("b", F.col("s.node").alias("p"))
+    members = materialise(many.select("b", "node").join(pivots, "b"), "bucket-members")
+    discard(many)
     wanted = members.select("node").distinct()
     bits = bitmap(wanted, "node", BITS)
     texts = src.select("h1", "text").mapInArrow(_fetched(bits), "node long, text string").join(wanted, "node", "left_semi").dropDuplicates(["node"])
