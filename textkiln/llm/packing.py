@@ -124,7 +124,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, cut: bool = True, path: str
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 flat, ends = encoder(path).encode(part.column("text"))
                 full = []
                 for doc_id, a, b in zip(part.column("doc_id").to_pylist(), np.concatenate([[0], ends[:-1]]), ends, strict=True):

@@ -89,7 +89,7 @@ def count(docs: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 8 << 20):
                 built = build(encoder(path), part.column("text"), leaf)
                 trees = [tree_of(t) for _, t in built]
                 more = {"n_tokens": pa.array([int(t[0]) for t in trees], pa.int64()), "leaf_chars": pa.array([c for c, _ in built], pa.list_(pa.int32())), "tree": pa.array(trees, pa.list_(pa.int32()))}

@@ -18,8 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A memo is emptied when it has so many segments (about 150 MB in a worker).
-MEMO = 600_000
+#: A memo is emptied when it has so many segments (about 80 MB in a worker).
+MEMO = 300_000
 #: Texts that are encoded whole (for RE2; \\s would only be ASCII).
 _SPACES = "\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 _ODD = f"^$|^[ \\n]|[ \\n]$|[ \\n][ \\n]|[{_SPACES}\\x00]"
