@@ -119,9 +119,11 @@ def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS):
     later. The fuller it gets, the less it spares.
     """
     x = F.col(col).bitwiseAND(bits - 1) + 1
-    pages = df.groupBy(F.bitmap_bucket_number(x).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("bits"))
+    at = df.select(F.bitmap_bucket_number(x).alias("page"), F.bitmap_bit_position(x).alias("bit"))
+    # Rows are dealt out first: a page of 4 KB for each few rows of a task would cost more.
+    pages = at.repartition("page").groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
-    for r in pages.toLocalIterator():
+    for r in pages.collect():  # bits / 8 bytes in all
         at = (r["page"] - 1) * _PAGE // 8
         out[at : at + _PAGE // 8] = np.frombuffer(r["bits"], np.uint8)[: len(out) - at]
     return df.sparkSession.sparkContext.broadcast(out)
