@@ -9,9 +9,10 @@ last slot, so long texts need few points a shingle.
 Texts that agree in all slots of a band share a bucket. In each bucket one member, the pivot, is compared exactly
 with the others; linked texts merge into components. Members that cannot be similar to anything else in the bucket
 leave it: a shingle that no other open text holds is shared with none, which bounds a text's overlap. What a bucket
-still has in different components gets another pivot, the member with most links; after ROUNDS pivots the pairs that
-are still open are compared. So every link that bands propose and that would join two components is tested, without
-the pairs within a component.
+still has in different components gets another pivot, the member with most links. After ROUNDS pivots the texts that
+are still open are joined by their rarest shingles: all texts sort their shingles alike, the rarer first, and two
+texts whose first common shingle comes late in either have too little left to share. So every link that bands
+propose and that would join two components is tested, without the pairs within a bucket or a component.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from textkiln.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of 32 bands of 4 slots with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-ROUNDS = 5
+ROUNDS = 2
+#: The levels by which shingles count as rare: more holders than these among the open texts. Any would be right.
+HOLDERS = (1, 3, 8, 32, 256)
 #: A pivot's partners are dealt into parts of about this many.
 PARTNERS = 512
 #: Bits of the bitmap of texts that have candidates; 4 MB.
@@ -151,13 +154,58 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own)), pa.array(items.view(np.int64)), pa.array(counts.astype(np.int64))], ["node", "item", "n"])
 
 
-def _bounds(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, size (shingles) and most (how many of them another of these texts can share)."""
+def _bounds(nodes: DataFrame, texts: DataFrame) -> tuple[DataFrame, list]:
+    """node, size (shingles) and most (how many of them another of these texts can share); a bitmap of shingles for
+    each of HOLDERS."""
     items = texts.join(nodes, "node", "left_semi").mapInArrow(_items, "node long, item long, n long")
-    once = items.groupBy("item").agg(F.count(F.lit(1)).alias("in"), F.min("node").alias("node"), F.min("n").alias("n")).filter("in = 1")
-    lone = once.groupBy("node").agg(F.sum("n").alias("lone"))
+    held = items.groupBy("item").agg(F.count(F.lit(1)).alias("held"), F.min("node").alias("node"), F.min("n").alias("n"))
+    held = materialise(held, "shingle-holders")
+    lone = held.filter("held = 1").groupBy("node").agg(F.sum("n").alias("lone"))
     sizes = items.groupBy("node").agg(F.sum("n").alias("size"))
-    return sizes.join(lone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("most"))
+    out = sizes.join(lone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("lone", F.lit(0))).alias("most"))
+    out, levels = materialise(out, "overlap-bounds"), [bitmap(held.filter(F.col("held") > n), "item", BITS) for n in HOLDERS]
+    discard(held)
+    return out, levels
+
+
+def _prefixes(levels: list, similarity: float):
+    """The shingles with which an overlap of at least similarity * size can begin, except those no other text holds;
+    `rest` is the weight from there on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                own, items, counts = shingles(part.column("text"))
+                level = sum((in_bitmap(b.value, items).astype(np.int8) for b in levels), np.zeros(len(items), np.int8))
+                order = np.lexsort((items, level, own))
+                own, items, counts, level = own[order], items[order], counts[order].astype(np.int64), level[order]
+                size = np.bincount(own, counts, minlength=len(part)).astype(np.int64)
+                rest = np.cumsum(size)[own] - np.cumsum(counts) + counts
+                on = (level > 0) & (rest >= similarity * size[own] - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(own[on])), pa.array(items[on].view(np.int64)), pa.array(rest[on])], ["node", "item", "rest"])
+
+    return run
+
+
+def _rarest_pairs(nodes: DataFrame, texts: DataFrame, levels: list, similarity: float) -> DataFrame:
+    """p, x of all pairs of nodes (node, comp, size, most) in different components that can be similar.
+
+    `up` is the largest size with which what an entry has left to share is enough; the smaller text of a pair needs
+    up >= its own size, so it brings fewer entries.
+    """
+    begun = texts.join(nodes.select("node"), "node", "left_semi").mapInArrow(_prefixes(levels, similarity), "node long, item long, rest long")
+    up = F.least("rest", "most") * (1 + similarity) / similarity - F.col("size") + 1e-6
+    entries = materialise(begun.join(nodes, "node").withColumn("up", up).select("item", "node", "comp", "size", "up"), "rarest-shingles")
+    smaller = entries.filter("up >= size")
+    seen = entries.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("up").alias("reach")).filter("lo < hi")
+    least = smaller.groupBy("item").agg(F.min("size").alias("least"), F.max("up").alias("far"))
+    useful = seen.join(least, "item").select("item", "reach", "least", "far")
+    left = smaller.join(useful, "item").filter("size <= reach").select("item", *(F.col(c).alias(f"{c}_s") for c in ("node", "comp", "size", "up")))
+    right = entries.join(useful, "item").filter("up >= least and size <= far").select("item", "node", "comp", "size", "up")
+    both = left.join(right, "item").filter("comp <> comp_s and size <= up_s and size_s <= up and (size_s < size or size_s = size and node_s < node)")
+    out = materialise(both.select(F.col("node").alias("p"), F.col("node_s").alias("x")).distinct(), "rarest-pairs")
+    discard(entries)
+    return out
 
 
 def _may(similarity: float, size, most, other_size, other_most=None):
@@ -194,14 +242,14 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     scratch = [members, texts, materialise(_verify(pairs, texts), "tested-pairs")]
     tested = scratch[-1]
     linked = lambda: tested.filter(F.col("sim") >= similarity).select(F.col("p").alias("u"), F.col("x").alias("v"))
-    comps, bounds = components(linked()), None
+    comps, bounds, levels = components(linked()), None, []
     for left in range(ROUNDS, -1, -1):
         # What was the pivot is settled; a bucket goes on while the others are in several components.
         rest = members.filter("node <> p").select("b", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
         rest = rest.join(several, "b")
         if bounds is None and not several.isEmpty():
-            bounds = materialise(_bounds(rest.select("node").distinct(), texts), "overlap-bounds")
+            bounds, levels = _bounds(rest.select("node").distinct(), texts)
             scratch.append(bounds)
         if bounds is not None:
             # A text shares at most `most` shingles, and most with a text of just these; the least one here is nearest.
@@ -221,11 +269,11 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
             members = rest.join(best.select("b", F.col("s.node").alias("p"), F.col("s.comp").alias("own"), F.col("s.size").alias("p_size"), F.col("s.most").alias("p_most")), "b")
             members = materialise(members, "bucket-members")
             scratch.append(members)
-            pairs = members.filter("comp <> own")
+            near = _may(similarity, F.col("size"), F.col("most"), F.col("p_size"), F.col("p_most"))
+            pairs = members.filter("comp <> own").filter(near).select("p", F.col("node").alias("x"))
         else:
-            other = rest.select("b", F.col("node").alias("x"), F.col("comp").alias("own"), F.col("size").alias("p_size"), F.col("most").alias("p_most"))
-            pairs = rest.join(other, "b").filter("comp <> own and node < x").withColumn("p", F.col("x"))
-        pairs = pairs.filter(_may(similarity, F.col("size"), F.col("most"), F.col("p_size"), F.col("p_most"))).select("p", F.col("node").alias("x"))
+            pairs = _rarest_pairs(rest.select("node", "comp", "size", "most").distinct(), texts, levels, similarity)
+            scratch.append(pairs)
         ordered = {"u": F.least("p", "x"), "v": F.greatest("p", "x")}
         done = tested.withColumns(ordered).select("u", "v").distinct()
         pairs = pairs.withColumns(ordered).dropDuplicates(["u", "v"]).join(done, ["u", "v"], "left_anti").select("p", "x")
