@@ -9,7 +9,7 @@ last slot, so long texts need few points a shingle.
 Texts that agree in all slots of a band share a bucket. In each bucket one member, the pivot, is compared exactly
 with the others; linked texts merge into components. Members that cannot be similar to anything else in the bucket
 leave it: a shingle that no other open text holds is shared with none, which bounds a text's overlap. What a bucket
-still has in different components gets another pivot, the member with most links. After ROUNDS pivots the texts that
+still has in different components gets another pivot, the member with most links. After ROUNDS more pivots the texts that
 are still open are joined by their rarest shingles: all texts sort their shingles alike, the rarer first, and two
 texts whose first common shingle comes late in either have too little left to share. So every link that bands
 propose and that would join two components is tested, without the pairs within a bucket or a component.
@@ -32,7 +32,7 @@ from textkiln.llm.components import components
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares none of 32 bands of 4 slots with a probability of 5e-8.
 BANDS, ROWS = 32, 4
-ROUNDS = 2
+ROUNDS = 1
 #: The levels by which shingles count as rare: more holders than these among the open texts. Any would be right.
 HOLDERS = (1, 3, 8, 32, 256)
 #: A pivot's partners are dealt into parts of about this many.
@@ -242,24 +242,23 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     scratch = [members, texts, materialise(_verify(pairs, texts), "tested-pairs")]
     tested = scratch[-1]
     linked = lambda: tested.filter(F.col("sim") >= similarity).select(F.col("p").alias("u"), F.col("x").alias("v"))
+    several = lambda rest: rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
     comps, bounds, levels = components(linked()), None, []
     for left in range(ROUNDS, -1, -1):
         # What was the pivot is settled; a bucket goes on while the others are in several components.
         rest = members.filter("node <> p").select("b", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
-        rest = rest.join(several, "b")
-        if bounds is None and not several.isEmpty():
+        if bounds is None:
+            scratch.append(rest := materialise(rest.join(several(rest), "b"), "open-buckets"))
+            if rest.isEmpty():
+                break
             bounds, levels = _bounds(rest.select("node").distinct(), texts)
             scratch.append(bounds)
-        if bounds is not None:
-            # A text shares at most `most` shingles, and most with a text of just these; the least one here is nearest.
-            rest = rest.join(bounds, "node")
-            sizes = rest.groupBy("b").agg(F.min("size").alias("least"))
-            rest = rest.join(sizes, "b").filter(_may(similarity, F.col("size"), F.col("most"), F.greatest("least", "most"))).drop("least")
-            several = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("b")
-            rest = rest.join(several, "b")
-        rest = materialise(rest, "open-buckets")
-        scratch.append(rest)
+        # A text shares at most `most` shingles, and most with a text of just these; the least one here is nearest.
+        rest = rest.join(bounds, "node")
+        sizes = rest.groupBy("b").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("size").alias("least")).filter("lo < hi").select("b", "least")
+        rest = rest.join(sizes, "b").filter(_may(similarity, F.col("size"), F.col("most"), F.greatest("least", "most"))).drop("least")
+        scratch.append(rest := materialise(rest, "open-members"))
+        scratch.append(rest := materialise(rest.join(several(rest), "b"), "open-buckets"))
         if rest.isEmpty():
             break
         if left:
