@@ -151,3 +151,28 @@ def test_pipeline_stages(spark, tmp_path):
     left = {r["doc_id"] for r in clean.collect()}
     assert left == {r["doc_id"] for r in near.collect()} - {2_000}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == left
+
+
+def test_rarest_shingles_lose_no_pair(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(6):
+        base = prose(rng, rng.randint(6, 60)).split()
+        base += base[:20] * rng.randint(0, 2)
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 4)):
+                w[rng.randrange(len(w))] = rng.choice(["x", "y", "z"])
+            texts.append(" ".join(w[: rng.randint(len(w) * 3 // 4, len(w))]))
+    texts = list(dict.fromkeys(texts))
+    own, items, counts = minhash_dedup.shingles(pa.array(texts))
+    bags = [collections.Counter() for _ in texts]
+    for o, i, n in zip(own.tolist(), items.tolist(), counts.tolist(), strict=True):
+        bags[o][i] = n
+    close = {(i, j) for i in range(len(texts)) for j in range(i) if (bags[i] & bags[j]).total() >= 0.8 * (bags[i] | bags[j]).total()}
+    frame = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    bounds, levels = minhash_dedup._bounds(frame.select("node"), frame)
+    nodes = bounds.withColumn("comp", F.col("node"))
+    found = {(max(r), min(r)) for r in minhash_dedup._rarest_pairs(nodes, frame, levels, 0.8).collect()}
+    assert len(close) > 30 and close <= found
+    assert len(found) < len(texts) * (len(texts) - 1) / 2
