@@ -53,6 +53,28 @@ def test_pii_matches_plain_patterns(spark, tmp_path, small):
     assert got[len(texts) - 2]["spans"] == "ssn:4:15" and got[len(texts) - 1]["spans"] == ""
 
 
+def test_account_numbers_next_to_words(spark):
+    de, gb, mt = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    other = "ZZ59 1234 5678 9012 3456"  # a code without a length of its own
+    texts = {
+        f"{de} The account": [de],
+        "DE89370400440532013000 BIC COBADEFFXXX": ["DE89370400440532013000"],
+        f"{de} Please": [de],
+        f"{gb} 2024": [gb],
+        f"{de} {gb} {mt} A1": [de, gb, mt],
+        f"AT12 {de} 7": [de],  # a false start with as many characters as an Austrian number
+        f"NO9386011117947 {mt}\n{de}, 😀 {gb}": ["NO9386011117947", mt, de, gb],
+        f"{gb}X {gb[:-1]}3 A{gb} {gb}é DE89 3704 0044 0532 0130 0": [gb],
+        f"{other} The {other} BIC X": [other, other],
+        "DE89 3704 0044 0532 0130 01 Please": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.detect(df).collect():
+        found = [s for s in r["pii"] if s["kind"] == "iban"]
+        assert [s["text"] for s in found] == texts[r["text"]], r["text"]
+        assert all(r["text"][s["start"] : s["end"]] == s["text"] for s in found)
+
+
 def test_decontamination(spark, small):
     items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()] + [(900, "Short item"), (901, None), (902, "--"), (903, "a")]
     docs = small + [(10_000 + i, t) for i, t in enumerate([*ODD, "a SHORT-item, and a short item", "short", "shorter item"])]

@@ -12,15 +12,37 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of an account number by country, blanks not counted (ISO 13616 registry).
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LISTED = "|".join(" ".join(IBAN_CHARS.values()).split())
+
+
+def _iban_pattern() -> str:
+    """Matches an account number's first four characters; group 1 is all of it, so the next one may start within.
+
+    Countries of the registry: as many characters as theirs have. Other codes: the longest run of 15 to 34 that ends
+    where no letter or digit follows.
+    """
+    sized = [rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_CHARS.items()]
+    other = rf"(?!{IBAN_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=((?:{'|'.join([*sized, other])})(?![A-Za-z0-9])))[A-Z]{{2}}[0-9]{{2}}"
+
+
 #: Kinds in the order of the output. The patterns match what the plain forms match from left to right, but start
 #: only where a run of characters starts (or the last match ended) and never give back what a run has taken, so
-#: long runs cost linear time and no stack. Card numbers: only runs of 13 to 19 digits.
+#: long runs cost linear time and no stack. Account numbers look ahead by at most 30 characters and as many blanks,
+#: so they do too. Card numbers: only runs of 13 to 19 digits.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 #: A text without this can't match; it is found much faster.
@@ -61,19 +83,34 @@ def _confirmed(kind: str, m: Column) -> Column:
         return _luhn(m)
     if kind == "phone":
         return n.between(9, 15)
-    return _mod97(m) if kind == "iban" else F.lit(True)
+    return F.lit(True)
+
+
+def _iban(m: Column) -> Column:
+    """The account number that m starts with, or null; of codes without a length the longest that ends at a blank."""
+    words = F.split(m, " ")
+    prefixes = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    found = F.filter(prefixes, lambda x: (F.length(F.regexp_replace(x, " ", "")) >= 15) & _mod97(x))
+    return F.when(m.rlike(f"^(?:{IBAN_LISTED})"), F.when(_mod97(m), m)).otherwise(F.get(found, 0))
 
 
 def spans_of(text: Column, kind: str) -> Column:
     """array<struct<kind, start, end, text, score>> of one kind, by start."""
     p, none = PATTERNS[kind], "array<struct<kind:string,start:int,end:int,text:string,score:double>>"
-    matches, pieces = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.transform(F.split(text, p, -1), lambda x: F.length(x))
+    pieces = F.transform(F.split(text, p, -1), lambda x: F.length(x))
+    matches = F.regexp_extract_all(text, F.lit(p), F.lit(1 if kind == "iban" else 0))
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("text")))).alias("out"))
+        m = _iban(x["m"]) if kind == "iban" else x["m"]
+        end = start + F.length(m)
+        out = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), m.alias("text"))))
+        if kind != "iban":
+            return F.struct(end.alias("at"), out.alias("out"))
+        last = F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0))
+        kept = F.when(m.isNotNull() & (start >= last), out).otherwise(acc["out"])  # the first of those that overlap
+        return F.struct((start + 4).alias("at"), kept.alias("out"))
 
     pairs = F.zip_with(F.slice(pieces, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
     found = F.filter(F.aggregate(pairs, state, step)["out"], lambda s: _confirmed(kind, s["text"]))
