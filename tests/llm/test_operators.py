@@ -102,6 +102,27 @@ def test_line_dedup(spark, tmp_path, small):
     assert line_dedup.drop_frequent_lines(d.limit(0)).count() == 0
 
 
+def test_line_dedup_makes_several_runs(spark, tmp_path, monkeypatch, small):
+    made = []
+
+    class Runs(line_dedup.LineRuns):
+        def add(self, docs, *more):
+            super().add(docs, *more)
+            made.append([len(x) for x in self.levels])
+
+    monkeypatch.setattr(line_dedup, "LineRuns", Runs)
+    docs = small + [(5_000 + i, t) for i, t in enumerate([*ODD, *(f"Common line\nown {i}" for i in range(12))])]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    d.repartition(7).write.parquet(f"{tmp_path}/a b%20/documents.parquet")
+    out = queries.op9_line_dedup(spark, f"{tmp_path}/a b%20")
+    assert rows(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.frequent_lines(docs))
+    assert made == [[1], [2], [0, 1], [1, 1]]
+    src = table(spark, f"{tmp_path}/a b%20", "documents")
+    assert [sum(b.count() for b in line_dedup.batches_of(x)) for x in (src, src.filter("doc_id % 2 = 0"))] == [len(docs), sum(i % 2 == 0 for i, _ in docs)]
+    for x in (src.limit(9), src.union(src), src.select("text", F.rand().alias("r")), d):
+        assert len(line_dedup.batches_of(x)) == 1
+
+
 def test_line_runs_compact_and_find_new_lines(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
     for texts in (["a\nb", "b"], ["b\nc"], ["A"], ["d"]):

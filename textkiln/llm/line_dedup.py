@@ -98,12 +98,19 @@ class LineRuns:
 
 
 def batches_of(docs: DataFrame, most: int = BATCHES) -> list[DataFrame]:
-    """docs in up to `most` batches by its files; in one where it isn't just read from files."""
-    files = sorted(docs.inputFiles())
-    if len(files) < 2 or docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+    """docs in up to `most` batches by its files; in one where it isn't columns and rows of one set of files.
+
+    A batch is a condition on the file's path, so every row is in just one and Spark reads only the batch's files.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    node, steps = plan, {"Project", "Filter", "SubqueryAlias"}
+    while node.getClass().getSimpleName() in steps:
+        node = node.children().head()
+    n = min(most, len(docs.inputFiles()))
+    if n < 2 or node.getClass().getSimpleName() != "LogicalRelation" or not plan.deterministic():
         return [docs]
-    n = min(most, len(files))
-    return [docs.sparkSession.read.schema(docs.schema).parquet(*files[i * len(files) // n : (i + 1) * len(files) // n]) for i in range(n)]
+    number = F.pmod(F.coalesce(F.crc32(F.col("_metadata.file_path").cast("binary")), F.lit(0)), F.lit(n))
+    return [docs.filter(number == i) for i in range(n)]
 
 
 def _text_keys(least_chars: int):
