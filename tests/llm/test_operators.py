@@ -243,6 +243,13 @@ def test_exact_topk(spark):
     assert {r["vec_id"]: r["score"] for r in knn.top_k(big, big.filter("vec_id = 0")).collect()}[1] == 1024**2 * (9 * 10**8 + 2)
 
 
+def test_topk_of_an_id_in_several_groups(spark):
+    data = [(0, [float(100 + 10 * i), 0.0]) for i in range(5)] + [(i, [float(90 - i), 0.0]) for i in range(1, 5)]
+    v = spark.createDataFrame(data, "vec_id long, v array<double>")
+    got = knn.top_k(v, v.filter("vec_id = 0 and v[0] = 100"), 2, 16)
+    assert rows(got, "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 8900), (0, 2, 2, 8800)]
+
+
 def test_language_id(spark, small):
     docs = table(spark, SF, "documents")
     model = language_id.train(docs.filter("doc_id % 2 = 0"))

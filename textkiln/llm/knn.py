@@ -70,12 +70,11 @@ def _needed(pivots: np.ndarray, radius: np.ndarray, sizes: np.ndarray, k: int, d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             q = _matrix(batch.column("v").to_pylist(), dim)
-            own = batch.column("grp").to_numpy()
             middle, reach = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None] * radius[None]
             slack = 1e-9 * (np.abs(middle) + reach) + 1e-6  # for rounding
             low, high = middle - reach - slack, middle + reach + slack
-            counts = np.repeat(sizes[None], len(q), 0)
-            counts[np.arange(len(q)), own] -= 1  # a query is no candidate of its own
+            # Rows with a query's id are none of its candidates, and every group may hold one.
+            counts = np.repeat(np.maximum(sizes - 1, 0)[None], len(q), 0)
             order = np.argsort(-low, axis=1, kind="stable")
             reached = np.cumsum(np.take_along_axis(counts, order, 1), axis=1) >= k
             at = np.argmax(reached, axis=1)
