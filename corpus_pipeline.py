@@ -18,9 +18,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language (null text or no letter) go."""
+    """Documents without a letter (or with null text) go; those without a `lang` get the predicted one.
+
+    A `lang` that a document has stays, whatever is predicted. Where no document has one, there is nothing to learn
+    from: it stays null, and every document with a letter stays.
+    """
     model = language_id.train(docs)
-    return language_id.predict(docs.select(*COLUMNS), model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    if not model.labels:
+        return docs.filter(language_id.has_letter(F.col("text")))
+    found = language_id.predict(docs, model).filter(F.col("lang_pred") != language_id.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

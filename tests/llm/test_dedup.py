@@ -153,6 +153,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == left
 
 
+def test_pipeline_language_of_documents_without_one(spark):
+    identify = dict(corpus_pipeline.STAGES)["language_id"]
+    texts = [None, "", "123 _ 4", "words here", "½", "é", "中文", "\u0301 ٣"]
+    bare = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], DOCS)
+    assert sorted(r["doc_id"] for r in identify(spark, bare, "").collect()) == [3, 4, 5, 6]
+    some = [(10, "the house and the garden " * 20, "en"), (11, "das Haus und der Garten " * 20, "de"), (12, "das Haus", None), (13, "the garden", None), (14, "das Haus", "en"), (15, "12", "en")]
+    got = identify(spark, spark.createDataFrame([(i, t, x, "s", 0) for i, t, x in some], DOCS), "").collect()
+    assert sorted((r["doc_id"], r["lang"]) for r in got) == [(10, "en"), (11, "de"), (12, "de"), (13, "en"), (14, "en")]
+
+
 def test_rarest_shingles_lose_no_pair(spark):
     rng = random.Random(9)
     texts = []

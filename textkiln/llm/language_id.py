@@ -96,6 +96,11 @@ def score_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]
     return labels, scores
 
 
+def has_letter(text: Column) -> Column:
+    """What _LETTER finds, as an expression; null text: false."""
+    return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs' columns, lang_pred and score (0 to 1). Null texts and texts without a letter: `und`, 0."""
     docs = docs.drop("lang_pred", "score")
