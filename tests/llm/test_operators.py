@@ -148,6 +148,17 @@ def test_sharding(spark, tmp_path, small):
             assert set(by) <= set(range(40)) and max(sums) - min(sums) <= max(r["size"] for r in got)
 
 
+def test_shard_goes_on_from_a_kept_map(spark):
+    docs = frame(spark, ["y" * (i % 97) for i in range(4_000)])
+    before, kept = sharding.placed(docs, 8, 512)
+    after, grown = sharding.placed(docs, 9, 512, spark.read.parquet(sharding.map_path(kept)))
+    assert [{r["version"] for r in x.select("version").collect()} for x in (before, kept, after, grown)] == [{2}, {2}, {3}, {3}]
+    old, new = ({r["doc_id"]: r["shard"] for r in x.collect()} for x in (before, after))
+    assert len(new) == 4_000 and 1 / 9 * 0.9 < sum(old[i] != new[i] for i in new) / 4_000 < 1 / 9 * 1.5
+    with pytest.raises(ValueError):
+        sharding.placed(docs, 9, 1024, kept)
+
+
 def test_shard_map_edits_move_little(spark):
     rows_ = sharding.sized(frame(spark, ["y" * (i % 97) for i in range(4_000)]), 512)
     stats = sharding.slot_stats(rows_, 512)

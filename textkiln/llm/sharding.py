@@ -68,8 +68,16 @@ def rebalanced(stats: DataFrame, slot_map: DataFrame, shards: int) -> DataFrame:
     return out.select(F.col("z.all.vslot").alias("vslot"), shard.alias("shard"), (F.col("version") + 1).alias("version"), F.when(shard != home, home).alias("moved_from"))
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, place (gapless from 0 in its shard), vslot, version.
+def map_path(kept: DataFrame) -> str:
+    """Where `placed` has stored a map, to be read as Parquet by a later run."""
+    return kept.stored_path
+
+
+def placed(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, size, text_crc32, shard, place, vslot, version) and the map that placed them, as stored.
+
+    The map is the next version of slot_map, a map that an earlier call has returned; without one, of the first map.
+    Places are gapless from 0 in a shard. slot_map must hold every slot once.
 
     Shards get nearly equal bytes. Places: a slot's first place follows from the counts in the map, a row's place in
     its slot from its order by id, so no task sorts more than a slot. Equal rows get places in any order. An empty
@@ -77,9 +85,20 @@ def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     """
     rows = sized(docs, slots)
     stats = write_table(slot_stats(rows, slots), work_path(docs.sparkSession, "slot-stats"))
-    new = rebalanced(stats, first_map(stats, shards), shards)
+    if slot_map is None:
+        slot_map = first_map(stats, shards)
+    elif slot_map.count() != slots or slot_map.filter(F.col("vslot").between(0, slots - 1)).select("vslot").distinct().count() != slots:
+        raise ValueError(f"the map doesn't hold each of {slots} slots once")
+    new = rebalanced(stats, slot_map.select("vslot", "shard", "version"), shards)
     start = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("n_rows")
-    placed = new.join(F.broadcast(stats), "vslot").select("vslot", "shard", "version", start.alias("first"))
-    placed = write_table(placed, work_path(docs.sparkSession, "slot-map"))
+    path = work_path(docs.sparkSession, "slot-map")
+    kept = write_table(new.join(F.broadcast(stats), "vslot").select("vslot", "shard", "version", start.alias("first")), path)
+    kept.stored_path = path
     in_slot = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    return rows.withColumn("in_slot", in_slot).join(F.broadcast(placed), "vslot").withColumn("place", F.col("first") + F.col("in_slot")).drop("first", "in_slot")
+    out = rows.withColumn("in_slot", in_slot).join(F.broadcast(kept), "vslot").withColumn("place", F.col("first") + F.col("in_slot")).drop("first", "in_slot")
+    return out, kept
+
+
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+    """The rows of `placed`."""
+    return placed(docs, shards, slots, slot_map)[0]
