@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +14,14 @@ log = logging.getLogger(__name__)
 BLANK = r"[\s\x1c-\x1f]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value evaluated once: body sees a variable, however often and however deep it names it.
+
+    A plain expression named inside a lambda is evaluated anew for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def java_pattern(pattern: str | None, ignore_case: bool = False) -> str | None:
     """A Python pattern for Java: only \\n ends a line, classes are Unicode. None, with a warning, if it is invalid."""
     if not pattern:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textkiln.functions.text import BLANK, stripped
+from textkiln.functions.text import BLANK, bound, stripped
 from textkiln.operators.lines import lines_of
 
 # What a line must hold to stay, what marks noise, and the weights.
@@ -34,27 +34,32 @@ def _kept_count(n: Column, ratio: float) -> Column:
     return F.greatest(F.lit(LEAST_KEPT), (n * F.lit(float(ratio))).cast("int"))
 
 
+def _kept(lines: Column, ratio: float) -> Column:
+    """0-based numbers of the lines that stay, ascending; lines must be a bound variable."""
+    scored = F.transform(lines, lambda x, i: F.struct((-score(x)).alias("less"), i.alias("i")))
+    best = bound(_kept_count(F.size(lines), ratio), lambda n: F.filter(F.sort_array(scored), lambda s, k: (k < n) | (s["less"] <= -MUST)))
+    return F.when(F.size(lines) <= LEAST_LINES, F.transform(lines, lambda _, i: i)).otherwise(F.sort_array(best["i"]))
+
+
 def kept_indices(text: Column, ratio: float = RATIO) -> Column:
     """0-based numbers of the lines that stay, ascending; ties go to the earlier line."""
-    lines = lines_of(text)
-    n = F.size(lines)
-    scored = F.transform(lines, lambda x, i: F.struct((-score(x)).alias("less"), i.alias("i")))
-    best = F.filter(F.array_sort(scored), lambda s, k: (k < _kept_count(n, ratio)) | (s["less"] <= -MUST))
-    every = F.transform(lines, lambda _, i: i)
-    return F.when(n <= LEAST_LINES, every).otherwise(F.array_sort(F.transform(best, lambda s: s["i"])))
+    return bound(lines_of(text), lambda x: _kept(x, ratio))
 
 
 def drop_indices(text: Column, ratio: float = RATIO) -> Column:
-    return F.array_except(F.transform(lines_of(text), lambda _, i: i), kept_indices(text, ratio))
+    return bound(lines_of(text), lambda x: F.array_except(F.transform(x, lambda _, i: i), _kept(x, ratio)))
 
 
 def collapse(text: Column, ratio: float = RATIO) -> Column:
     """Kept lines, with `... [k lines dropped] ...` for every run of others."""
-    lines, kept = lines_of(text), kept_indices(text, ratio)
     notice = lambda k: F.when(k > 0, F.array(F.concat(F.lit("... ["), k.cast("string"), F.lit(" lines dropped] ...")))).otherwise(F.array().cast("array<string>"))
-    body = F.transform(kept, lambda i, j: F.concat(notice(i - F.when(j == 0, F.lit(-1)).otherwise(F.get(kept, j - 1)) - 1), F.array(F.get(lines, i))))
-    last = notice(F.size(lines) - 1 - F.get(kept, F.size(kept) - 1))
-    return F.array_join(F.concat(F.flatten(body), last), "\n")
+
+    def joined(lines: Column, kept: Column) -> Column:
+        body = F.transform(kept, lambda i, j: F.concat(notice(i - F.when(j == 0, F.lit(-1)).otherwise(F.get(kept, j - 1)) - 1), F.array(F.get(lines, i))))
+        last = notice(F.size(lines) - 1 - F.get(kept, F.size(kept) - 1))
+        return F.array_join(F.concat(F.flatten(body), last), "\n")
+
+    return bound(lines_of(text), lambda x: bound(_kept(x, ratio), lambda k: joined(x, k)))
 
 
 def scored_lines(docs: DataFrame, key: str, text: str = "text", ratio: float = RATIO) -> DataFrame:

@@ -1,18 +1,18 @@
 """Line programs: declared stages compiled to one expression over an array of lines.
 
-Nothing here shuffles; a document is a row and its lines an array. Positions are handled as arrays of indices, so
-every stage is linear in the lines but for sorting.
+Nothing here shuffles; a document is a row and its lines an array. Every stage binds its lines to a variable and names
+them only through it, so a program's plan grows by a constant a stage and its time by a constant a line.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textkiln.functions.text import is_blank, java_pattern, java_replacement
+from textkiln.functions.text import bound, is_blank, java_pattern, java_replacement
 
 # The escape sequences that are removed, the notice of a cut text, and the fallback.
 ANSI = r"\x1B(?:[@-Z\\-_]|\[[0-?]*[ -/]*[@-~])"
@@ -46,14 +46,6 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _at(lines: Column, index: Column) -> Column:
-    return F.transform(index, lambda i: F.get(lines, i))
-
-
-def _numbers(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
 def strip_ansi(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.regexp_replace(x, ANSI, ""))
 
@@ -80,35 +72,57 @@ def line_dedup(lines: Column) -> Column:
 
 def head_tail(lines: Column, max_lines: int = 50, head_ratio: float = 0.5) -> Column:
     head = int(max_lines * head_ratio)
-    n = F.size(lines)
-    cut = F.filter(lines, lambda _, i: (i < head) | (i >= n - (max_lines - head)))
-    return F.when(n <= max_lines, lines).otherwise(cut)
+
+    def cut(x: Column) -> Column:
+        n = F.size(x)
+        ends = F.concat(F.slice(x, 1, head), F.slice(x, n - (max_lines - head) + 1, max_lines - head))
+        return F.when(n <= max_lines, x).otherwise(ends)
+
+    return bound(lines, cut)
 
 
 def smart_truncate(lines: Column, max_lines: int = 50, head_ratio: float = 0.5, priority_lines: str | None = None) -> Column:
-    """Priority lines and, in what they leave, the first and last others; of too many priority lines the first and last."""
+    """Priority lines and, in what they leave, the first and last others; of too many priority lines the first and last.
+
+    One pass marks the lines, a second keeps the marked ones and those before and after the bounds of the cut: the
+    positions of the first other line that goes and of the first one of the tail.
+    """
     p = java_pattern(priority_lines)
     if p is None:
         return head_tail(lines, max_lines, head_ratio)
-    n, every = F.size(lines), _numbers(F.size(lines))
-    first = F.filter(every, lambda i: F.get(lines, i).rlike(p))
-    others = F.filter(every, lambda i: ~F.get(lines, i).rlike(p))
-    room = F.lit(max_lines) - F.size(first)
-    head = (room * F.lit(float(head_ratio))).cast("int")
-    kept = F.filter(others, lambda _, k: (k < head) | (k >= F.size(others) - (room - head)))
-    few = _at(lines, F.array_sort(F.concat(first, kept)))
-    return F.when(n <= max_lines, lines).when(F.size(first) > max_lines, head_tail(_at(lines, first), max_lines, head_ratio)).otherwise(few)
+
+    def chosen(s: Column) -> Column:  # marked: the lines and whether they have priority; others: positions of the rest
+        room = F.lit(max_lines) - (F.size(s["marked"]) - F.size(s["others"]))
+        head = (room * F.lit(float(head_ratio))).cast("int")
+        edges = F.struct(F.get(s["others"], head).alias("low"), F.get(s["others"], F.size(s["others"]) - (room - head)).alias("high"))
+        few = bound(edges, lambda e: F.filter(s["marked"], lambda x, i: x["p"] | (i < e["low"]) | F.coalesce(i >= e["high"], F.lit(False))))
+        first = F.filter(s["marked"], lambda x: x["p"])
+        return F.when(room < 0, head_tail(first["x"], max_lines, head_ratio)).otherwise(few["x"])
+
+    def cut(x: Column) -> Column:
+        marked = F.transform(x, lambda y: F.struct(y.alias("x"), y.rlike(p).alias("p")))
+        others = lambda m: F.filter(F.transform(m, lambda y, i: F.when(~y["p"], i)), lambda i: i.isNotNull())
+        return F.when(F.size(x) <= max_lines, x).otherwise(bound(bound(marked, lambda m: F.struct(m.alias("marked"), others(m).alias("others"))), chosen))
+
+    return bound(lines, cut)
 
 
 def on_empty(lines: Column, fallback: str = EMPTY_OUTPUT) -> Column:
-    empty = (F.size(lines) == 0) | ((F.size(lines) == 1) & is_blank(F.get(lines, F.lit(0))))
-    return F.when(empty, F.array(F.lit(fallback))).otherwise(lines)
+    empty = lambda x: (F.size(x) == 0) | ((F.size(x) == 1) & is_blank(F.get(x, F.lit(0))))
+    return bound(lines, lambda x: F.when(empty(x), F.array(F.lit(fallback))).otherwise(x))
 
 
 def tee_ref(raw: Column) -> Column:
     return F.concat(F.lit("tee:"), F.sha2(raw, 256))
 
 
+def _truncated(s: Stage, notice: Column) -> Callable[[Column], Column]:
+    def cut(x: Column) -> Column:
+        return smart_truncate(x, s.max_lines, s.head_ratio, s.priority_lines) if s.name == "smart_truncate" else head_tail(x, s.max_lines, s.head_ratio)
+
+    return lambda x: F.when(F.size(x) > s.max_lines, F.concat(cut(x), notice)).otherwise(x)
+
+
 def run(text: Column, stages: Iterable[Stage | dict]) -> Column:
     """The text after the stages; null stays null and empty text empty."""
     before, after = CUT_NOTICE.split("{}")
@@ -117,9 +131,8 @@ def run(text: Column, stages: Iterable[Stage | dict]) -> Column:
         if s.enabled is False:
             continue
         if s.name in ("smart_truncate", "head_tail"):
-            cut = smart_truncate(lines, s.max_lines, s.head_ratio, s.priority_lines) if s.name == "smart_truncate" else head_tail(lines, s.max_lines, s.head_ratio)
-            notice = F.concat(F.lit(before), tee_ref(text), F.lit(after))
-            lines = F.when(F.size(lines) > s.max_lines, F.concat(cut, F.array(notice))).otherwise(lines)
+            notice = F.array(F.concat(F.lit(before), tee_ref(text), F.lit(after)))
+            lines = bound(lines, _truncated(s, notice))
         else:
             step = {
                 "strip_ansi": lambda x: strip_ansi(x),
