@@ -102,34 +102,48 @@ def test_line_dedup(spark, tmp_path, small):
     assert line_dedup.drop_frequent_lines(d.limit(0)).count() == 0
 
 
-def test_line_dedup_makes_several_runs(spark, tmp_path, monkeypatch, small):
-    made = []
+@pytest.mark.parametrize("source", ["one file", "several files", "a union"])
+def test_line_dedup_goes_through_the_runs(spark, tmp_path, monkeypatch, small, source):
+    made, joined = [], []
 
     class Runs(line_dedup.LineRuns):
-        def add(self, docs, *more):
-            super().add(docs, *more)
+        def add(self, counts):
+            before = self.rows().filter("new").count()
+            super().add(counts)
             made.append([len(x) for x in self.levels])
+            joined.append((before, counts.count(), self.rows().filter("new").count()))
+
+        def counts(self, least=1):
+            every = self.rows().filter("new")
+            assert every.count() == every.select("k1", "k2").distinct().count()  # new in one run only
+            return super().counts(least).filter(F.lit(not bypass))
 
     monkeypatch.setattr(line_dedup, "LineRuns", Runs)
     docs = small + [(5_000 + i, t) for i, t in enumerate([*ODD, *(f"Common line\nown {i}" for i in range(12))])]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    d.repartition(7).write.parquet(f"{tmp_path}/a b%20/documents.parquet")
-    out = queries.op9_line_dedup(spark, f"{tmp_path}/a b%20")
+    path = f"{tmp_path}/a b%20"
+    if source == "a union":
+        d.filter("doc_id % 2 = 0").write.parquet(f"{path}/documents.parquet")
+        d.filter("doc_id % 2 = 1").write.mode("append").parquet(f"{path}/documents.parquet")
+    else:
+        d.repartition(1 if source == "one file" else 7).write.parquet(f"{path}/documents.parquet")
+    bypass = False
+    out = queries.op9_line_dedup(spark, path)
     assert rows(out, "doc_id", "n_lines", "n_dropped", "kept_sha256") == sorted(brute.frequent_lines(docs))
     assert made == [[1], [2], [0, 1], [1, 1]]
-    src = table(spark, f"{tmp_path}/a b%20", "documents")
-    assert [sum(b.count() for b in line_dedup.batches_of(x)) for x in (src, src.filter("doc_id % 2 = 0"))] == [len(docs), sum(i % 2 == 0 for i, _ in docs)]
-    for x in (src.limit(9), src.union(src), src.select("text", F.rand().alias("r")), d):
-        assert len(line_dedup.batches_of(x)) == 1
+    assert all(new < old + n for old, n, new in joined[1:]) and all(new > old for old, _, new in joined)
+    bypass = True  # without what the runs say, nothing is dropped
+    assert queries.op9_line_dedup(spark, path).agg(F.sum("n_dropped")).first()[0] == 0
 
 
 def test_line_runs_compact_and_find_new_lines(spark):
+    counts = lambda texts: line_dedup.batch_counts(spark.createDataFrame([(t,) for t in texts], "text string"), batches=1).drop("batch")
     runs = line_dedup.LineRuns(spark, fanout=2)
     for texts in (["a\nb", "b"], ["b\nc"], ["A"], ["d"]):
-        runs.add(spark.createDataFrame([(t,) for t in texts], "text string"))
+        runs.add(counts(texts))
     assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert sorted(r["n"] for r in runs.all().collect()) == [1, 1, 2, 3]
-    assert runs.unseen(spark.createDataFrame([("a\nz",), ("z",)], "text string")).collect()[0]["n"] == 2
+    assert sorted(r["n"] for r in runs.counts().collect()) == [1, 1, 2, 3] and runs.rows().filter("not new").count() == 0
+    assert runs.unseen(counts(["a\nz", "z"])).collect()[0]["n"] == 2
 
 
 def test_sharding(spark, tmp_path, small):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used where the session names no shared folder, as in local tests.
+#: Used where a local session names no shared folder, as in tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints/textkiln"
 #: Python works through Arrow batches in slices of about this many bytes of text.
 SLICE_BYTES = 4 << 20
@@ -24,19 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS).rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = LOCAL_CHECKPOINTS
+    return path.rstrip("/")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for an intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for an intermediate table in the shared folder; what is left there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, p = _hadoop(spark, path)
+    fs.mkdirs(p)  # only what exists can be marked
+    fs.deleteOnExit(p)
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    fs, p = _hadoop(spark, path)
+    fs.delete(p, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder, sorted; none where it does not exist."""
+    fs, p = _hadoop(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
 
 
 def write_table(df: DataFrame, path: str) -> DataFrame:

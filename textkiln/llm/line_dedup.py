@@ -1,8 +1,9 @@
 """Line de-duplication over levelled sorted runs.
 
-A run is a table of line keys (two 64-bit hashes) and the number of documents that hold them, sorted by key. New
-batches become runs of level 0; when a level has FANOUT runs they are merged into one of the next level, so a key is
-rewritten once a level. A batch is merge-anti-joined with the runs to find what it brings anew.
+Documents come in batches. A run is a table of line keys (128-bit hashes), sorted by key, with the number of documents
+that hold them. A new batch is merge-joined with the runs: the keys that no run has yet (the anti-join) enter the
+batch's own run as new, the others as counts to add, so each key is new in exactly one run. The run joins level 0; when
+a level has FANOUT runs they are merged into one of the next level, so a key is rewritten once a level.
 """
 
 from __future__ import annotations
@@ -16,15 +17,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import extended, remove, schema_with, slices, text_key, texts_of, work_path, write_table
+from textkiln.llm.common import discard, extended, folders, materialise, remove, schema_with, slices, text_key, texts_of, work_path, write_table
 
 FANOUT = 3
-#: Batches that one table is dealt into, by its files.
+#: Batches that one table is dealt into, by a hash of the text.
 BATCHES = 4
-#: Sets of up to so many dropped keys (16 bytes each) are broadcast; larger ones are joined.
+#: Sets of up to so many dropped keys (16 bytes each, about 60 MB as a set in a worker) are broadcast; larger ones are
+#: joined. Both ways give the same rows.
 BROADCAST_KEYS = 1 << 19
 BLANK = b" \t\n\x0b\x0c\r"
-RUN = "k1 long, k2 long, n long"
+RUN = "k1 long, k2 long, n long, new boolean"
+KEY = ["k1", "k2"]
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -41,19 +44,28 @@ def _hashed(keys) -> np.ndarray:
 
 
 def _counts(least_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
             for part in slices(batch, "text"):
-                seen: dict[bytes, int] = {}
-                for text in texts_of(part):
+                by: dict[int, dict[bytes, int]] = {}
+                for text, number in zip(texts_of(part), part.column("batch").to_pylist(), strict=True):
+                    seen = by.setdefault(number, {})
                     for k in {k for k in line_keys(text) if _long(k, least_chars)}:
                         seen[k] = seen.get(k, 0) + 1
-                h = _hashed(seen)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(seen.values()), pa.int64())], ["k1", "k2", "n"])
+                for number, seen in by.items():
+                    h = _hashed(seen)
+                    yield pa.RecordBatch.from_arrays([pa.array([number] * len(seen), pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(list(seen.values()), pa.int64())], ["batch", "k1", "k2", "n"])
 
     return run
 
 
+def batch_counts(docs: DataFrame, least_chars: int = 1, batches: int = BATCHES) -> DataFrame:
+    """batch, k1, k2, n: how many documents of each batch hold a key. Any table is dealt into batches, by its texts."""
+    number = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(batches)).cast("int")
+    counts = docs.select("text", number.alias("batch")).mapInArrow(_counts(least_chars), "batch int, k1 long, k2 long, n long")
+    return counts.groupBy("batch", *KEY).agg(F.sum("n").alias("n"))
+
+
 class LineRuns:
     """The runs of one corpus, kept under a path that driver and executors share."""
 
@@ -62,18 +74,31 @@ class LineRuns:
         self.levels: list[list[str]] = []
         self.made = 0
 
-    def _write(self, counts: DataFrame) -> str:
+    def _write(self, rows: DataFrame) -> str:
         self.made += 1
         path = f"{self.path}/run-{self.made}"
-        write_table(counts.groupBy("k1", "k2").agg(F.sum("n").alias("n")).sortWithinPartitions("k1", "k2"), path)
+        write_table(rows.select(*KEY, "n", "new").sortWithinPartitions(*KEY), path)
         return path
 
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
-    def add(self, docs: DataFrame, least_chars: int = 1) -> None:
-        """Count a batch's keys into a new run, then merge the levels that are full."""
-        run = self._write(docs.select("text").mapInArrow(_counts(least_chars), RUN))
+    def rows(self) -> DataFrame:
+        return self._read([x for level in self.levels for x in level])
+
+    def unseen(self, counts: DataFrame) -> DataFrame:
+        """Of a batch's counts (k1, k2, n) those of keys that no run has: a merge-anti-join with the sorted runs."""
+        known = self.rows().filter("new").select(*KEY)
+        return counts.join(known.hint("merge"), KEY, "left_anti")
+
+    def add(self, counts: DataFrame) -> None:
+        """Take in a batch's counts (k1, k2, n; a key once), then merge the levels that are full."""
+        if any(self.levels):
+            known = self.rows().filter("new").select(*KEY, F.lit(False).alias("new"))
+            counts = counts.join(known.hint("merge"), KEY, "left").withColumn("new", F.col("new").isNull())
+        else:
+            counts = counts.withColumn("new", F.lit(True))
+        run = self._write(counts)
         level = 0
         while True:
             if level == len(self.levels):
@@ -82,35 +107,17 @@ class LineRuns:
             if len(self.levels[level]) < self.fanout:
                 return
             old, self.levels[level] = self.levels[level], []
-            run = self._write(self._read(old))
+            run = self._write(self._read(old).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("new").alias("new")))
             for x in old:
                 remove(self.spark, x)
             level += 1
 
-    def all(self) -> DataFrame:
-        """k1, k2, n over all runs."""
-        return self._read([x for level in self.levels for x in level]).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-
-    def unseen(self, docs: DataFrame, least_chars: int = 1) -> DataFrame:
-        """The keys of docs that no run has yet, with their counts."""
-        new = docs.select("text").mapInArrow(_counts(least_chars), RUN).groupBy("k1", "k2").agg(F.sum("n").alias("n"))
-        return new.join(self._read([x for level in self.levels for x in level]), ["k1", "k2"], "left_anti")
-
-
-def batches_of(docs: DataFrame, most: int = BATCHES) -> list[DataFrame]:
-    """docs in up to `most` batches by its files; in one where it isn't columns and rows of one set of files.
-
-    A batch is a condition on the file's path, so every row is in just one and Spark reads only the batch's files.
-    """
-    plan = docs._jdf.queryExecution().analyzed()
-    node, steps = plan, {"Project", "Filter", "SubqueryAlias"}
-    while node.getClass().getSimpleName() in steps:
-        node = node.children().head()
-    n = min(most, len(docs.inputFiles()))
-    if n < 2 or node.getClass().getSimpleName() != "LogicalRelation" or not plan.deterministic():
-        return [docs]
-    number = F.pmod(F.coalesce(F.crc32(F.col("_metadata.file_path").cast("binary")), F.lit(0)), F.lit(n))
-    return [docs.filter(number == i) for i in range(n)]
+    def counts(self, least: int = 1) -> DataFrame:
+        """k1, k2, n of the keys in `least` documents or more. A key that only its own run has needs no sum."""
+        rows = self.rows()
+        again = rows.filter("not new").groupBy(*KEY).agg(F.sum("n").alias("more"))
+        n = F.col("n") + F.coalesce("more", F.lit(0))
+        return rows.filter("new").join(again, KEY, "left").select(*KEY, n.alias("n")).filter(F.col("n") >= least)
 
 
 def _text_keys(least_chars: int):
@@ -153,18 +160,23 @@ def _cut(broadcast):
 def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, least_chars: int = 1, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """docs' columns, n_lines, n_dropped and kept: the text without lines whose key is in at least min_docs documents.
 
-    A null text is one empty line. Every row is a document, repeated rows too; ids are not used. Columns of docs named
+    The table is dealt into BATCHES batches, which go through the runs one after another. Keys are counted once a
+    document. A null text is one empty line; an empty table stays empty. Every row is a document, repeated rows too; ids are not used. Columns of docs named
     like an output, or h1, h2 and dropped, are replaced. Keys shorter than least_chars code points always stay.
     """
     spark = docs.sparkSession
-    runs = LineRuns(spark)
-    for batch in batches_of(docs):
-        runs.add(batch, least_chars)
-    frequent = write_table(runs.all().filter(F.col("n") >= min_docs).select("k1", "k2"), f"{runs.path}/frequent")
+    runs, path = LineRuns(spark), work_path(spark, "line-counts")
+    batch_counts(docs, least_chars).write.mode("overwrite").partitionBy("batch").option("compression", "zstd").parquet(path)
+    for name in folders(spark, path):
+        runs.add(spark.read.schema("k1 long, k2 long, n long").parquet(f"{path}/{name}"))
+    frequent = materialise(runs.counts(min_docs).select(*KEY), "frequent-lines")
+    remove(spark, path)
+    remove(spark, runs.path)
     docs = docs.drop("n_lines", "n_dropped", "kept", "h1", "h2", "dropped")
     schema = schema_with(docs, "n_lines long, n_dropped long, kept string")
     if frequent.count() <= broadcast_keys:
         keys = frequent.toPandas().to_numpy(np.int64)
+        discard(frequent)
         shared = spark.sparkContext.broadcast(np.ascontiguousarray(keys).view(np.uint8).reshape(-1))
         return docs.mapInArrow(_cut(shared), schema)
     hashed = docs.withColumns(dict(zip(("h1", "h2"), text_key(), strict=True)))
