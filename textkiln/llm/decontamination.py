@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import extended, schema_with, slices, texts_of
+from textkiln.llm.common import discard, extended, materialise, schema_with, slices, texts_of
 
 WINDOW = 10
-#: One automaton takes patterns of so many bytes at most (about 0.5 GB in a worker). A larger benchmark is scanned
-#: for in blocks, one pass each, so memory stays bounded.
+#: One automaton takes patterns of about so many bytes (0.5 GB in a worker). A larger benchmark is scanned for in
+#: blocks, one after another: the rows are written between two passes, so one block is broadcast at a time.
 BLOCK_BYTES = 8 << 20
 
 #: Bytes of words stay, A-Z become a-z, other ASCII becomes a blank; bytes from 0x80 on are parts of words.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 OUT = "n_words long, hits array<struct<start:int,end:int>>, spans array<struct<start:int,end:int>>, items array<long>"
+OUTPUTS = ("n_words", "hits", "spans", "items")
 _automata: dict[int, tuple[ahocorasick.Automaton, list[list[int]]]] = {}
 
 
@@ -33,9 +34,10 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split()
 
 
-def windows_of(text: str, window: int = WINDOW) -> set[bytes]:
+def windows_of(text: str, window: int = WINDOW) -> Iterator[bytes]:
+    """The windows of a text, one after another: a long item may fill several blocks."""
     w = words_of(text)
-    return {b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
+    return (b" ".join(w[i : i + window]) for i in range(max(1, len(w) - window + 1))) if w else iter(())
 
 
 def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[dict[bytes, list]]:
@@ -43,12 +45,13 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[dic
     block, used = {}, 0
     for row in benchmark.select("item_id", "text").filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).toLocalIterator():
         for w in windows_of(row["text"], window):
-            if w not in block:
+            own = block.setdefault(w, [])
+            if not own or own[-1] != row["item_id"]:
+                own.append(row["item_id"])
                 used += len(w)
-            block.setdefault(w, []).append(row["item_id"])
-        if used >= block_bytes:
-            yield block
-            block, used = {}, 0
+            if used >= block_bytes:
+                yield block
+                block, used = {}, 0
     if block:
         yield block
 
@@ -134,16 +137,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     Null text has no words; items without id or words are left out; an empty benchmark hits nothing. Hits of several
     blocks are put together. Columns of docs named like an output are replaced.
     """
-    docs = docs.drop("n_words", "hits", "spans", "items")
+    docs = docs.drop(*OUTPUTS)
     blocks = _blocks(benchmark, window, block_bytes)
-    out = None
-    for i, block in enumerate(blocks):
+    out = last = shared = None
+    for block in blocks:
+        src = docs
+        if out is not None:
+            so_far = materialise(out.withColumnsRenamed({c: f"{c}_so_far" for c in OUTPUTS}), "decontaminated")
+            shared.broadcast.destroy()
+            if last is not None:
+                discard(last)
+            src = last = so_far
         shared = _Shared(docs.sparkSession.sparkContext.broadcast(block))
-        src = docs if out is None else out.withColumnsRenamed({c: f"{c}_so_far" for c in ("n_words", "hits", "spans", "items")})
         out = src.mapInArrow(_scan(shared), schema_with(src, OUT))
-        if i:
+        if last is not None:
             out = out.withColumns({c: _merged(c) for c in ("hits", "spans")} | {"items": F.array_sort(F.array_union("items_so_far", "items"))})
-            out = out.drop("n_words_so_far", "hits_so_far", "spans_so_far", "items_so_far")
+            out = out.drop(*(f"{c}_so_far" for c in OUTPUTS))
     return docs.mapInArrow(_scan(None), schema_with(docs, OUT)) if out is None else out
 
 

@@ -8,12 +8,12 @@ the data's size, so broadcasting it is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textkiln.llm.common import work_path, write_table
+from textkiln.llm.common import discard, folders, materialise, work_path, write_table
 
 SLOTS = 8192
 #: A shard keeps its own slots up to this share of the mean; the smallest slots level the rest.
@@ -68,37 +68,46 @@ def rebalanced(stats: DataFrame, slot_map: DataFrame, shards: int) -> DataFrame:
     return out.select(F.col("z.all.vslot").alias("vslot"), shard.alias("shard"), (F.col("version") + 1).alias("version"), F.when(shard != home, home).alias("moved_from"))
 
 
-def map_path(kept: DataFrame) -> str:
-    """Where `placed` has stored a map, to be read as Parquet by a later run."""
-    return kept.stored_path
+MAP = "vslot int, shard int, version int, first long"
 
 
-def placed(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def stored_map(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of the map that is kept under path; None where there is none yet."""
+    kept = [x for x in folders(spark, path) if x.startswith("version-")]
+    return spark.read.schema(MAP).parquet(f"{path}/{kept[-1]}") if kept else None
+
+
+def placed(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, size, text_crc32, shard, place, vslot, version) and the map that placed them, as stored.
 
-    The map is the next version of slot_map, a map that an earlier call has returned; without one, of the first map.
-    Places are gapless from 0 in a shard. slot_map must hold every slot once.
+    Maps are kept under path, a folder a version. A call loads the newest one (or takes slot_map, a map that an earlier
+    call has returned), edits it for the sizes as they are now and stores the next version there; older ones stay.
+    Without path the map lives as long as the session. slot_map must hold every slot once.
 
-    Shards get nearly equal bytes. Places: a slot's first place follows from the counts in the map, a row's place in
-    its slot from its order by id, so no task sorts more than a slot. Equal rows get places in any order. An empty
-    table gives no rows; columns beyond doc_id and text are not read.
+    Shards get nearly equal bytes. Places are gapless from 0 in a shard: a slot's first place follows from the counts
+    in the map, a row's place in its slot from its order by id, so no task sorts more than a slot. Equal rows get places
+    in any order. An empty table gives no rows; columns beyond doc_id and text are not read.
     """
+    spark = docs.sparkSession
+    path = path or work_path(spark, "slot-map")
+    if slot_map is None:
+        slot_map = stored_map(spark, path)
     rows = sized(docs, slots)
-    stats = write_table(slot_stats(rows, slots), work_path(docs.sparkSession, "slot-stats"))
+    stats = materialise(slot_stats(rows, slots), "slot-stats")
     if slot_map is None:
         slot_map = first_map(stats, shards)
     elif slot_map.count() != slots or slot_map.filter(F.col("vslot").between(0, slots - 1)).select("vslot").distinct().count() != slots:
         raise ValueError(f"the map doesn't hold each of {slots} slots once")
     new = rebalanced(stats, slot_map.select("vslot", "shard", "version"), shards)
     start = F.sum("n_rows").over(Window.partitionBy("shard").orderBy("vslot")) - F.col("n_rows")
-    path = work_path(docs.sparkSession, "slot-map")
-    kept = write_table(new.join(F.broadcast(stats), "vslot").select("vslot", "shard", "version", start.alias("first")), path)
-    kept.stored_path = path
+    version = slot_map.agg(F.max("version")).first()[0] + 1
+    kept = write_table(new.join(F.broadcast(stats), "vslot").select("vslot", "shard", "version", start.alias("first")), f"{path}/version-{version:09d}")
+    discard(stats)
     in_slot = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
     out = rows.withColumn("in_slot", in_slot).join(F.broadcast(kept), "vslot").withColumn("place", F.col("first") + F.col("in_slot")).drop("first", "in_slot")
     return out, kept
 
 
-def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, slot_map: DataFrame | None = None) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """The rows of `placed`."""
-    return placed(docs, shards, slots, slot_map)[0]
+    return placed(docs, shards, slots, path=path)[0]
