@@ -1,6 +1,8 @@
 """Plain Python versions of what the operators' queries return."""
 
+import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -79,5 +81,33 @@ def repeated_bytes(docs, n=100):
         yield doc_id, len(b), int(gone.sum()), runs, sha(bytes(np.frombuffer(b, np.uint8)[~gone]))
 
 
+def gram_buckets(text, buckets=1 << 15):
+    """Buckets of the 1-, 2- and 3-grams of a text, one after another."""
+    c = [ord(x) for x in f" {text.lower()} "]
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h * 0x9E3779B1 + x) & 0xFFFFFFFF
+            yield (((h ^ h >> 15) * 0x85EBCA6B & 0xFFFFFFFF) >> 17) & (buckets - 1)
+
+
+def languages(train, texts, smoothing=0.5, buckets=1 << 15):
+    """For each text the likeliest label of a multinomial naive Bayes fitted on (text, label), and its score."""
+    counts, docs = {}, collections.Counter()
+    for text, label in train:
+        docs[label] += 1
+        counts.setdefault(label, collections.Counter()).update(gram_buckets(text))
+    total = {x: math.log(c.total() + smoothing * buckets) for x, c in counts.items()}
+    for text in texts:
+        if not text or not any(x.isalpha() for x in text):
+            yield "und", 0.0
+            continue
+        grams = list(gram_buckets(text))
+        log = {x: math.log(docs[x] / docs.total()) + sum(math.log(c[g] + smoothing) - total[x] for g in grams) for x, c in counts.items()}
+        best = min(log, key=lambda x: (-log[x], x))
+        yield best, 1 / sum(math.exp((v - log[best]) / math.sqrt(len(grams))) for v in log.values())
+
+
 def crc(x: bytes) -> int:
     return zlib.crc32(x)

@@ -292,5 +292,38 @@ def test_language_id(spark, small):
     assert all(0 <= r["score"] <= 1 and (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or "")) for r in odd)
     none = language_id.train(docs.limit(0))
     assert {r["lang_pred"] for r in language_id.predict(docs, none).collect()} == {"und"}
-    got = queries.op8_language_id(spark, SF).collect()
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
+    assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_language_query_equals_naive_bayes(spark, tmp_path, small):
+    langs = ["en", "de", "fr", None, "es", "en"]
+    own = [(i, t, langs[i % 6]) for i, (_, t) in enumerate([*small[:60], *((0, t) for t in ODD if t is None or len(t) < 1_000)])]
+    spark.createDataFrame(own, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).write.parquet(f"{tmp_path}/documents.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    want = list(brute.languages([(t, x) for i, t, x in own if not held(i) and t is not None and x is not None], [t for _, t, _ in own]))
+    got = {r["doc_id"]: r for r in queries.op8_language_id(spark, str(tmp_path)).collect()}
+    for (i, t, _), (label, score) in zip(own, want, strict=True):
+        assert (got[i]["held_out"], got[i]["lang_pred"]) == (held(i), label), t
+        assert abs(got[i]["score"] - score) < 1e-6
+    docs = table(spark, str(tmp_path), "documents").drop("score")
+    one, many = (language_id.predict(docs, language_id.train(docs, block=b)) for b in (256, 1))
+    near = lambda df: [(r["doc_id"], r["lang_pred"], round(r["score"], 9), r["fit"] and round(r["fit"], 9)) for r in df.orderBy("doc_id").collect()]
+    assert near(one) == near(many)
+
+
+def test_more_labels_than_a_block_holds(spark):
+    words = [f"w{i:04d}x{i * 7919 % 1000:03d}" for i in range(600)]
+    docs = spark.createDataFrame([(i, f"{w} {w} {w}", f"l{i:04d}") for i, w in enumerate(words)], "doc_id long, text string, lang string")
+    out = language_id.predict(docs, language_id.train(docs)).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in out) > 590
+
+
+def test_a_long_text_is_summed_up_in_pieces(monkeypatch):
+    rng = np.random.default_rng(2)
+    w = np.vstack([rng.normal(size=(language_id.BUCKETS, 3)), np.zeros(3)])
+    texts = ["", "short one", "long " * 300, "é中", "x" * 501]
+    want = language_id.log_likelihoods(w, texts)
+    monkeypatch.setattr(language_id, "CELLS", 21)
+    for a, b in zip(language_id.log_likelihoods(w, texts), want, strict=True):
+        assert np.allclose(a, b)
+    assert want[1].tolist() == [len(list(brute.gram_buckets(t))) for t in texts]

@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams of all labelled rows by language (partial sums in the tasks, then one sum a language
-and bucket). The matrix of log probabilities has BUCKETS rows whatever the corpus; it is broadcast, and batches of
-texts are scored in numpy by looking up the rows of the n-grams that occur.
+and bucket). The matrix of log probabilities has BUCKETS rows whatever the corpus and a column a label; it is broadcast
+in blocks of LABELS columns. The n-grams of a batch of texts are one sparse list of matrix rows, which numpy looks up
+and sums by text.
 """
 
 from __future__ import annotations
@@ -13,16 +14,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import extended, schema_with, slices, texts_of
+from textkiln.llm.common import discard, extended, materialise, schema_with, slices, texts_of
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-#: A model with more labels than this is refused: the matrix would not be small any more.
-MOST_LABELS = 512
+#: Labels of a block of the matrix (64 MB); more labels take a pass over the texts for each block.
+LABELS = 256
+#: Looked-up numbers that are held at a time.
+CELLS = 1 << 21
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -30,23 +34,25 @@ _LETTER = re.compile(r"[^\W\d_]")
 @dataclass(frozen=True)
 class Model:
     labels: list[str]
-    #: BUCKETS x labels, log P(bucket | label); and log P(label).
-    weights: np.ndarray
-    priors: np.ndarray
-
-
-def _grams(text: str) -> np.ndarray:
-    """Buckets of all n-grams of a text in lower case, ends marked with blanks."""
-    c = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    #: For each block of labels (BUCKETS + 1) x labels, log P(bucket | label), zeros in the last row; and log P(label).
+    weights: list[np.ndarray]
+    priors: list[np.ndarray]
+
+
+def _grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Buckets of all n-grams of texts in lower case, ends marked with blanks: for each order an array with a place a
+    character (BUCKETS where the n-gram would pass its text's end), and where each text's characters end."""
+    marked = [f" {x.lower()} " for x in texts]
+    ends = np.cumsum([len(x) for x in marked])
+    c = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
+    left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(c))
     out, h = [], np.zeros(len(c), np.uint32)
     for n in range(1, max(ORDERS) + 1):
-        if len(c) < n:
-            break
-        h = h[: len(c) - n + 1] * np.uint32(0x9E3779B1) + c[n - 1 :]
+        h = h * np.uint32(0x9E3779B1) + np.concatenate([c[n - 1 :], np.zeros(min(n - 1, len(c)), np.uint32)])
         if n in ORDERS:
             x = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-            out.append((x >> np.uint32(17)) & np.uint32(BUCKETS - 1))
-    return np.concatenate(out)
+            out.append(np.where(left >= n, (x >> np.uint32(17)) & np.uint32(BUCKETS - 1), BUCKETS).astype(np.int64))
+    return out, ends
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,46 +60,60 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs: dict[str, int] = {}
     for batch in batches:
         for part in slices(batch, "text"):
-            for text, label in zip(texts_of(part), part.column("label").to_pylist(), strict=True):
+            own = part.column("label").to_pylist()
+            for label in set(own):
                 if label not in sums:
                     sums[label], docs[label] = np.zeros(BUCKETS, np.int64), 0
-                sums[label] += np.bincount(_grams(text), minlength=BUCKETS)
-                docs[label] += 1
+                texts = [t for t, x in zip(texts_of(part), own, strict=True) if x == label]
+                docs[label] += len(texts)
+                for x in _grams(texts)[0]:
+                    sums[label] += np.bincount(x, minlength=BUCKETS + 1)[:BUCKETS]
     for label, s in sums.items():
         at = np.flatnonzero(s)
         buckets, counts = np.append(at, -1), np.append(s[at], docs[label])  # bucket -1 counts documents
         yield pa.RecordBatch.from_arrays([pa.array([label] * len(buckets), pa.string()), pa.array(buckets, pa.int32()), pa.array(counts, pa.int64())], ["label", "bucket", "n"])
 
 
-def train(docs: DataFrame, label: str | Column = "lang", text: str = "text") -> Model:
+def train(docs: DataFrame, label: str | Column = "lang", text: str = "text", block: int = LABELS) -> Model:
     """Fit on all rows with text and label. No such rows: a model without labels, which answers `und`."""
     rows = docs.select(F.col(text).alias("text"), (F.col(label) if isinstance(label, str) else label).alias("label")).filter("text is not null and label is not null")
     counts = rows.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("label").agg(F.collect_list(F.struct("bucket", "n")).alias("counts")).orderBy("label").limit(MOST_LABELS + 1).collect()
-    if len(rows) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    weights, priors = np.zeros((BUCKETS, len(rows))), np.zeros(len(rows))
-    for k, row in enumerate(rows):
-        pairs = np.array([(x["bucket"], x["n"]) for x in row["counts"]], np.int64)
-        seen = pairs[:, 0] >= 0
-        weights[pairs[seen, 0], k] = pairs[seen, 1]
-        priors[k] = pairs[~seen, 1].sum()
-    weights = np.log((weights + SMOOTHING) / (weights.sum(0) + SMOOTHING * BUCKETS))
-    return Model([r["label"] for r in rows], weights.astype(np.float32), np.log(priors / max(priors.sum(), 1)))
-
-
-def score_texts(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
-    """The likeliest label of each text and its probability; ties go to the label that sorts first."""
-    labels, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    for i, text in enumerate(texts):
-        if not model.labels or not text or not _LETTER.search(text):
-            continue
-        counts = np.bincount(_grams(text), minlength=BUCKETS)
-        at = np.flatnonzero(counts)
-        log = counts[at].astype(np.float64) @ model.weights[at] + model.priors
-        best = int(np.argmax(log))
-        labels[i], scores[i] = model.labels[best], float(1 / np.exp(log - log[best]).sum())
-    return labels, scores
+    counts = materialise(counts, "language-counts")
+    sizes = {r["label"]: r["n"] for r in counts.filter("bucket = -1").collect()}
+    labels, weights, priors = sorted(sizes), [], []
+    for a in range(0, len(labels), block):
+        own = labels[a : a + block]
+        numbers = F.create_map(*(F.lit(x) for i, v in enumerate(own) for x in (v, i)))
+        cells = counts.select(F.try_element_at(numbers, "label").alias("k"), "bucket", "n").filter("k is not null and bucket >= 0").toArrow()
+        w = np.zeros((BUCKETS, len(own)))
+        w[cells.column("bucket").to_numpy(), cells.column("k").to_numpy()] = cells.column("n").to_numpy()
+        w = np.log((w + SMOOTHING) / (w.sum(0) + SMOOTHING * BUCKETS))
+        weights.append(np.vstack([w, np.zeros(len(own))]))
+        priors.append(np.log(np.array([sizes[x] for x in own]) / sum(sizes.values())))
+    discard(counts)
+    return Model(labels, weights, priors)
+
+
+def log_likelihoods(weights: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a row of log P(text | label), and how many n-grams it has."""
+    out, n = np.zeros((len(texts), weights.shape[1])), np.zeros(len(texts), np.int64)
+    most = max(1, CELLS // weights.shape[1])
+    at = 0
+    while at < len(texts):
+        to, held = at, 0
+        while to < len(texts) and (to == at or held + len(texts[to]) <= most):
+            held, to = held + len(texts[to]) + 2, to + 1
+        orders, ends = _grams(texts[at:to])
+        starts = np.concatenate([[0], ends[:-1]])
+        for lo in range(0, int(ends[-1]), most):  # a longer text is summed up piece by piece
+            piece = [x[lo : lo + most] for x in orders]
+            cut = np.clip(starts, lo, lo + most) - lo
+            some = np.flatnonzero((np.clip(ends, lo, lo + most) - lo > cut))
+            sums = sum(weights[x] for x in piece)
+            out[at + some] += np.add.reduceat(sums, cut[some], axis=0)
+            n[at + some] += np.add.reduceat(sum((x < BUCKETS).astype(np.int64) for x in piece), cut[some])
+        at = to
+    return out, n
 
 
 def has_letter(text: Column) -> Column:
@@ -101,15 +121,54 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs' columns, lang_pred and score (0 to 1). Null texts and texts without a letter: `und`, 0."""
-    docs = docs.drop("lang_pred", "score")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+STATE = "lang_pred string, score double, fit double, _best double, _mass double"
+
+
+def _scored(shared, labels: list[str], text: str):
+    """Take in one block of labels: the likeliest label so far, its log probability, and the log of all mass by n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, priors = shared.value
         for batch in batches:
             for part in slices(batch, text):
-                labels, scores = score_texts(shared.value, texts_of(part, text))
-                yield extended(part, {"lang_pred": pa.array(labels, pa.string()), "score": pa.array(scores, pa.float64())})
+                texts = texts_of(part, text)
+                log, n = log_likelihoods(weights, texts)
+                grams, at = np.maximum(n, 1), np.argmax(log + priors, axis=1)
+                own = (log + priors)[np.arange(len(texts)), at]
+                mean = (log + priors) / np.sqrt(grams)[:, None]
+                top = mean.max(1)
+                mass = top + np.log(np.exp(mean - top[:, None]).sum(1))
+                was = {c: part.column(c) for c in ("lang_pred", "fit", "_best", "_mass")}
+                old = {c: was[c].to_numpy(zero_copy_only=False) for c in ("fit", "_best", "_mass")}
+                better = own > old["_best"]  # ties stay with the label that sorts first
+                label = pa.array(np.array(labels, object)[at], pa.string())
+                best, mass = np.where(better, own, old["_best"]), np.logaddexp(old["_mass"], mass)
+                fit = np.where(better, log[np.arange(len(texts)), at] / grams + np.log(BUCKETS), old["fit"])
+                new = {"lang_pred": pc.if_else(pa.array(better), label, was["lang_pred"]), "score": np.minimum(np.exp(best / np.sqrt(grams) - mass), 1.0), "fit": fit, "_best": best, "_mass": mass}
+                none = pa.array([not t or not _LETTER.search(t) for t in texts])
+                done = {k: v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v, pa.float64()) for k, v in new.items()}
+                yield extended(part, {k: pc.if_else(none, was[k] if k in was else part.column(k), v) for k, v in done.items()}, tuple(done))
+
+    return run
+
 
-    return docs.mapInArrow(run, schema_with(docs, "lang_pred string, score double"))
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs' columns, lang_pred, score and fit. Null texts and texts without a letter: `und`, 0 and null.
+
+    lang_pred is the likeliest label (ties: the one that sorts first). score, from 0 to 1, is its share of all labels'
+    probability, with log probabilities divided by the square root of the number of n-grams, since n-grams that
+    overlap are no independent witnesses: undivided, it would be 1 for nearly any text. fit is how much likelier an
+    n-gram is on average (log) than if all buckets were as likely: below 0, noise explains the text better than any label.
+    Columns of docs with these names are replaced; repeated rows each get their own; an empty table stays empty.
+    """
+    docs = docs.drop("lang_pred", "score", "fit", "_best", "_mass")
+    if not model.labels:
+        return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "fit": F.lit(None).cast("double")})
+    lowest = F.lit(float("-inf"))
+    out = docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "fit": F.lit(None).cast("double"), "_best": lowest, "_mass": lowest})
+    at = 0
+    for weights, priors in zip(model.weights, model.priors, strict=True):
+        shared = docs.sparkSession.sparkContext.broadcast((weights, priors))
+        out = out.mapInArrow(_scored(shared, model.labels[at : at + len(priors)], text), schema_with(docs, STATE))
+        at += len(priors)
+    return out.drop("_best", "_mass")
