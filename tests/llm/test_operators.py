@@ -202,6 +202,19 @@ def test_differencing_is_near_equal_and_counts_rise():
         assert len(windows) == 3
     assert len(packing.windows_of([1024] * 4 + [1], 2048, False)) == 3
     assert packing.windows_of([], 2048) == []
+    assert packing.pieces_of(700) == [256, 256, 141, 47] and packing.pieces_of(1) == [1] and packing.pieces_of(512) == [256, 256]
+
+
+def test_window_count_rises_when_capacity_is_exceeded(monkeypatch):
+    tried, plain = [], packing.differenced
+    monkeypatch.setattr(packing, "differenced", lambda sizes, m: tried.append(m) or plain(sizes, m))
+    windows = packing.windows_of([1100] * 7, 2048, False)  # 4 windows would do by the sum
+    assert tried == [4, 5, 6, 7] and len(windows) == 7
+    tried.clear()
+    windows = packing.windows_of([1100] * 7, 2048, True)
+    assert tried[0] == 4 and len(windows) == tried[-1] and all(sum(n for _, _, n in w) <= 2048 for w in windows)
+    monkeypatch.setattr(packing, "differenced", lambda sizes, m: [list(range(len(sizes)))][: m < 9] or plain(sizes, m))
+    assert len(packing.windows_of([1100] * 7, 2048, True)) == 9  # whatever differencing gives, no window is over
 
 
 def test_packing(spark, tmp_path, small):
@@ -218,6 +231,16 @@ def test_packing(spark, tmp_path, small):
     gapless = lambda parts: all(a == s for (a, _), s in zip(sorted(parts), np.cumsum([0] + [n for _, n in sorted(parts)]), strict=False))
     assert set(pieces) == set(range(len(texts))) and all(gapless(p) and sum(n for _, n in p) == len(ids[d]) for d, p in pieces.items())
     assert all(gapless(s) and sum(n for _, n in s) <= 2048 for s in seqs.values())
+    assert packing.pack(frame(spark, [])).count() == 0
+
+
+def test_packing_pads_little(spark):
+    p = queries.op2_packing(spark, "/root/testdata/sf0.01")
+    tasks = p.select(F.shiftright("sequence_id", 32)).distinct().count()
+    used = p.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    padding = used.filter("log2(n) <> floor(log2(n))").agg(F.sum(2048 - F.col("n")), F.count(F.lit(1))).first()
+    assert used.filter("n > 2048").count() == 0
+    assert padding[0] <= padding[1] * 2 * packing.SLACK + 2 * 2048 * tasks  # the last block of a task may leave two windows
 
 
 def test_segment_encoder_equals_the_tokenizer():
