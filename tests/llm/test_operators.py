@@ -299,6 +299,42 @@ def test_exact_topk(spark):
     assert {r["vec_id"]: r["score"] for r in knn.top_k(big, big.filter("vec_id = 0")).collect()}[1] == 1024**2 * (9 * 10**8 + 2)
 
 
+def test_topk_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 24)) * 800
+    x = (centres[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 24)) * 40).round()
+    x[1_000:1_300] = x[0]  # copies
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, v array<double>")
+    report = {}
+    got = rows(knn.top_k(v, v.filter("vec_id % 100 = 0"), report=report), "query_id", "rank", "vec_id", "score")
+    want = []
+    for q in range(0, 4_000, 100):
+        s = x @ x[q]
+        best = [i for i in np.lexsort((np.arange(4_000), -s)) if i != q][:10]
+        want += [(q, n + 1, int(i), int(s[i])) for n, i in enumerate(best)]
+    assert got == sorted(want)
+    assert report["groups"] > 30 and report["kept"] < 0.2 * report["pairs"]
+
+
+def test_topk_bounds_hold():
+    rng = np.random.default_rng(5)
+    for scale in (0.05, 1.0, 30.0):
+        p, x, q = rng.normal(size=9), rng.normal(size=(300, 9)) * scale + 1, rng.normal(size=(200, 9))
+        p /= np.linalg.norm(p)
+        a, n = knn._angles(x, knn._norms(x), p[None])[:, 0], knn._norms(x)
+        b, m = knn._angles(q, knn._norms(q), p[None])[:, 0], knn._norms(q)
+        s = q @ x.T
+        assert (s.max(1) <= knn.upper(m, b, a.min(), a.max(), n.min(), n.max())).all()
+        assert (s.min(1) >= knn.lower(m, b, a.max(), n.min(), n.max())).all()
+
+
+def test_topk_ranks_what_is_beyond_64_bits(spark):
+    data = [(0, [3e9, 4e9]), (1, [3e9, 4e9 + 1]), (2, [3e9, 4e9 + 2]), (3, [-3e9, -4e9]), (4, [-3e9, -4e9 - 1]), (5, [1e200, 0.0]), (6, [1.0, 1.0])]
+    v = spark.createDataFrame([(i, [x * 1024 for x in r]) for i, r in data], "vec_id long, v array<double>")
+    got = rows(knn.top_k(v, v.filter("vec_id = 0")), "rank", "vec_id", "score")
+    assert [i for _, i, _ in got] == [5, 2, 1, 6, 3, 4] and got[0][2] == got[1][2] == knn.LONG and got[-1][2] == -knn.LONG
+
+
 def test_topk_of_an_id_in_several_groups(spark):
     data = [(0, [float(100 + 10 * i), 0.0]) for i in range(5)] + [(i, [float(90 - i), 0.0]) for i in range(1, 5)]
     v = spark.createDataFrame(data, "vec_id long, v array<double>")
