@@ -36,8 +36,9 @@ def test_repeated_strings(spark, tmp_path, monkeypatch):
     docs = list(enumerate(texts))
     want = sorted(brute.repeated_bytes(docs))
     sf = saved(spark, tmp_path, docs)
-    for most in (substring_dedup.MOST, 2):
-        monkeypatch.setattr(substring_dedup, "MOST", most)
+    got = queries.op6_substring_dedup(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert sorted(map(tuple, got.collect())) == want
+    for most in (9, 2):
         out = substring_dedup.remove_repeats(table(spark, sf, "documents").withColumn("kept", F.lit(1)), most)
         got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
         assert sorted(map(tuple, got.collect())) == want
@@ -46,15 +47,29 @@ def test_repeated_strings(spark, tmp_path, monkeypatch):
     assert sorted(r["n_removed"] for r in substring_dedup.remove_repeats(odd).collect())[0] == 0
 
 
-def test_suffix_ranks_order_like_suffixes():
+def test_longest_previous_factors():
     rng = random.Random(4)
-    b = np.array([rng.choice([97, 98]) for _ in range(600)], np.uint8)
-    starts = np.arange(501)
-    rank = substring_dedup.suffix_ranks(b, starts, 100)
-    raw = b.tobytes()
-    keys = [raw[i : i + 100] for i in range(501)]
-    order = {k: i for i, k in enumerate(sorted(set(keys)))}
-    assert rank.tolist() == [order[k] for k in keys]
+    for letters, n in (("ab", 300), ("a", 40), ("abcd", 200), ("", 0)):
+        text = "".join(rng.choice(letters) for _ in range(n))
+        order = sorted(range(n), key=lambda i: text[i:])
+        shared = lambda i, j: next((k for k in range(n) if text[i + k : i + k + 1] != text[j + k : j + k + 1] or i + k >= n or j + k >= n), 0)  # noqa: B023, E731
+        lcp = np.array([shared(i, j) for i, j in zip(order, order[1:], strict=False)], np.int64)
+        lcp = np.concatenate([np.zeros(min(1, n), np.int64), lcp])
+        want = {i: max([shared(i, j) for j in range(i)], default=0) for i in range(n)}
+        for least in (1, 4):
+            got = dict(zip(order, substring_dedup.previous_factors(np.array(order, np.int64), lcp, least).tolist(), strict=True))
+            assert all(got[i] == want[i] if want[i] >= least else got[i] <= want[i] for i in range(n))
+
+
+def test_what_is_removed_comes_from_previous_factors(spark, tmp_path, monkeypatch):
+    rng = random.Random(12)
+    passage = prose(rng, 60)
+    docs = [(i, f"{prose(rng, 30)} {passage if i % 3 else passage[: 100 + i]} {prose(rng, 30)}") for i in range(30)]
+    removed = lambda sf: sum(r["n_removed"] for r in queries.op6_substring_dedup(spark, sf).collect())
+    sf = saved(spark, tmp_path, docs)
+    whole = removed(sf)
+    monkeypatch.setattr(substring_dedup, "_local", lambda batches: (x for x in ()))
+    assert removed(sf) < 0.9 * whole
 
 
 def classes(docs, similarity=0.8):

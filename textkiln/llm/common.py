@@ -127,15 +127,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-#: Bits of a membership bitmap: 16 MB, whatever the data's size.
-BITMAP_BITS = 1 << 27
+#: The least and the most bits of a membership bitmap (128 KB and 64 MB), and bits for each value.
+BITMAP_BITS, BITS_EACH = (1 << 20, 1 << 29), 16
 _PAGE = 1 << 15
 
 
-def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS):
+def bits_for(values: int) -> int:
+    """Bits of a bitmap for so many values: a power of two within BITMAP_BITS."""
+    least, most = BITMAP_BITS
+    return min(most, max(least, 1 << max(0, int(values * BITS_EACH) - 1).bit_length()))
+
+
+def bitmap(df: DataFrame, col: str, bits: int):
     """A broadcast bitmap of the values of a long column, by their low bits.
 
-    It has a fixed size and only spares work: a value that isn't in df may pass, so whoever uses it checks exactly
+    Its size is bounded and it only spares work: a value that isn't in df may pass, so whoever uses it checks exactly
     later. The fuller it gets, the less it spares.
     """
     x = F.col(col).bitwiseAND(bits - 1) + 1

@@ -3,12 +3,15 @@
 Two equal strings of `length` bytes hold the same least hash of their GRAM-byte substrings, an anchor, at the same
 place. So it is enough to look at each anchor with its context, as far as such a string can reach around it:
 1. Of equal texts only the first is looked at; the others are covered wholly.
-2. Anchors are counted; a bitmap of fixed size lets through those met more than once.
-3. Of occurrences with equal anchor and context the first is the leader; the others' contexts are covered.
-4. Leaders of one anchor with different contexts meet in a task, which builds the suffix array of their contexts up
-   to `length` bytes. Suffixes that share that much stand together; one of them has an earlier match (a previous or
-   next smaller position in suffix order) unless it is the smallest of its run. An anchor with more than MOST
-   contexts is spread instead: its leaders' strings are grouped by 128-bit hashes.
+2. Anchors are counted; a bitmap lets through those met more than once.
+3. Of occurrences with equal anchor and context the first is the leader, the smallest position of a run of equal
+   suffixes; the others have it as an earlier match and are covered.
+4. Leaders of one anchor meet in a task. It puts the suffixes of their contexts in suffix order, marks which neighbours
+   share `length` bytes, finds each suffix's previous and next smaller position in that order, and from them its
+   longest previous factor. Where that reaches `length`, the string is covered.
+An anchor with more contexts than a task takes is halved: the strings that begin in the nearer half before it and those
+that begin in the farther one, each with a narrower window of the context and keyed by the bytes that all of its strings
+hold. Equal windows fall together again, as in 3. Halves are halved until they fit; in the last ones all are equal.
 The covered ranges are then cut out of the documents.
 """
 
@@ -18,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import bitmap, extended, in_bitmap, materialise, mix64, raw_bytes, schema_with, slices
+from textkiln.llm.common import bitmap, bits_for, discard, extended, in_bitmap, materialise, mix64, raw_bytes, schema_with, slices, text_key
 
 LENGTH, GRAM = 100, 32
 #: Positions that are hashed at a time.
 BLOCK = 1 << 18
-#: Contexts of one anchor that one task compares (their suffixes take about 300 MB); and contexts whose suffixes are sorted together.
+#: A string of LENGTH bytes begins at most so many bytes before its anchor.
+SPAN = LENGTH - GRAM
+#: Contexts of one anchor that one task compares (with 70 suffixes each, about 100 MB); and contexts whose suffixes are
+#: sorted together.
 MOST, CHUNK = 32_768, 8192
 FACTOR = 0x9E3779B97F4A7C15
 _rng = np.random.default_rng(0x5EED)
@@ -106,7 +113,7 @@ def _occurrences(copied, met, mixed=None, firsts: bool = True):
                 for k, shift in enumerate((*range(GRAM - LENGTH, LENGTH - GRAM, GRAM), LENGTH - GRAM)):  # together they cover it
                     c = mix64(c + h[np.clip(pos + shift, lo, hi - GRAM)] + np.uint64(k)) if len(c) else c
                 ids, h1 = part.column("doc").to_numpy(zero_copy_only=False)[doc], part.column("h1").to_numpy(zero_copy_only=False)[doc]
-                cols = {"a": a.view(np.int64), "c": c.view(np.int64), "doc": ids, "h1": h1, "lo": lo - start, "len": (hi - lo).astype(np.int32)}
+                cols = {"a": a.view(np.int64), "c": c.view(np.int64), "doc": ids, "h1": h1, "lo": lo - start, "len": (hi - lo).astype(np.int32), "at": (pos - lo).astype(np.int32)}
                 if mixed is not None:
                     may = in_bitmap(mixed.value, c)
                     cols, lo, hi = {k: v[may] for k, v in cols.items()}, lo[may], hi[may]
@@ -127,9 +134,7 @@ def _occurrences(copied, met, mixed=None, firsts: bool = True):
     return run
 
 
-PLACE = "a long, c long, doc long, h1 long, lo long, len int"
-#: Bits of the bitmap of texts that have copies; 4 MB.
-COPY_BITS = 1 << 25
+PLACE = "a long, c long, doc long, h1 long, lo long, len int, at int"
 RANGES = "doc long, h1 long, start long, end long"
 
 
@@ -141,52 +146,91 @@ def _maybe_copied(copied):
     return run
 
 
-def suffix_ranks(b: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """The ranks of the suffixes at starts in suffix order, compared up to length (at least 8) bytes; equal ones
-    share a rank. By prefix doubling; every suffix at starts must have length bytes."""
-    padded = np.concatenate([b, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(b), np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + len(b)]
-    rank, n = np.unique(key, return_inverse=True)[1].astype(np.uint64), 8
-    while 2 * n <= length:
-        nxt = np.zeros(len(rank), np.uint64)
-        nxt[:-n] = rank[n:]
-        rank, n = np.unique(rank << np.uint64(32) | nxt, return_inverse=True)[1].astype(np.uint64), 2 * n
-    return np.unique(rank[starts] << np.uint64(32) | rank[starts + length - n], return_inverse=True)[1]
+def _previous(place: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
+    """What each suffix shares with the nearest one before it in suffix order that has a smaller place.
 
+    Pointers start at the neighbour. While what they point to is no smaller, they take over its pointer, and the least
+    common prefix on the way; a way that has sunk below `least` is left.
+    """
+    to, shared = np.arange(len(place)) - 1, lcp.copy()
+    on = np.flatnonzero((shared >= least) & (to >= 0))
+    while len(on):
+        on = on[place[to[on]] >= place[on]]
+        via = to[on]
+        to[on], shared[on] = to[via], np.minimum(shared[on], shared[via])
+        on = on[(shared[on] >= least) & (to[on] >= 0)]
+    return np.where((to >= 0) & (place[to] < place), shared, 0)
 
-def with_earlier_match(b: np.ndarray, starts: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which suffixes at starts have a longest previous factor of length bytes or more, by their order numbers."""
-    if not len(starts):
-        return np.zeros(0, bool)
-    rank = suffix_ranks(b, starts, length)
-    least = np.full(rank.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, rank, order)
-    return order > least[rank]
 
+def previous_factors(place: np.ndarray, lcp: np.ndarray, least: int = LENGTH) -> np.ndarray:
+    """The lengths of the longest previous factors of suffixes: place has their positions in suffix order, lcp what each
+    shares with the one before it there (the first: 0). Lengths below `least` may be put too low."""
+    after = np.concatenate([np.zeros(min(1, len(lcp)), lcp.dtype), lcp[:0:-1]])
+    return np.maximum(_previous(place, lcp, least), _previous(place[::-1], after, least)[::-1])
 
-def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor; whole anchors are compared together, CHUNK contexts or a little more at a time."""
 
-    def solved(t: pa.Table) -> pa.RecordBatch:
-        doc, h1, lo, n = (t.column(x).to_numpy().astype(np.int64) for x in ("doc", "h1", "lo", "len"))
-        b = np.frombuffer(b"".join(t.column("ctx").to_pylist()), np.uint8)
-        first = np.cumsum(n) - n
-        own = np.repeat(np.arange(len(n)), n - LENGTH + 1)
-        step = np.arange(len(own)) - np.repeat(np.cumsum(n - LENGTH + 1) - (n - LENGTH + 1), n - LENGTH + 1)
-        place = np.lexsort((lo[own] + step, h1[own], doc[own]))  # strings at one place share a number
-        new = np.ones(len(place), bool)
-        new[1:] = (np.diff((lo[own] + step)[place]) != 0) | (np.diff(h1[own][place]) != 0) | (np.diff(doc[own][place]) != 0)
-        order = np.empty(len(place), np.int64)
-        order[place] = np.cumsum(new)
-        hit = np.flatnonzero(with_earlier_match(b, first[own] + step, order))
-        cut = np.ones(len(hit), bool)
-        cut[1:] = (np.diff(hit) != 1) | (np.diff(own[hit]) != 0)
-        heads, tails = hit[cut], hit[np.append(np.flatnonzero(cut)[1:] - 1, len(hit) - 1)] if len(hit) else hit
-        c = own[heads]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[c], h1[c], lo[c] + step[heads], lo[c] + step[tails] + LENGTH)], [x.split()[0] for x in RANGES.split(", ")])
+def _frame(ctx: list[bytes], at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Contexts as rows of bytes, their anchors one below the other in column SPAN; zeros where a context has ended."""
+    m = np.zeros((len(n), SPAN + LENGTH), np.uint8)
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    m.reshape(-1)[np.repeat(np.arange(len(n)) * (SPAN + LENGTH) + SPAN - at, n) + step] = np.frombuffer(b"".join(ctx), np.uint8)
+    return m
+
+
+def covered(group: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each context and each number of bytes e before the anchor: whether the string that begins there has a longest
+    previous factor of LENGTH or more among its group. left and right: how far contexts reach from the anchor's start.
+
+    Strings that begin e bytes before the anchor can only be equal to such that do so too. Their suffix order follows
+    from that of e - 1 by one stable sort by the byte that comes in front.
+    """
+    k, words = len(group), np.ascontiguousarray(np.pad(m[:, SPAN:], ((0, 0), (0, -LENGTH % 8)))).view(">u8")
+    order = np.lexsort((*words.T[::-1], group))  # by what follows the anchor's start
+    after = m[order][:, SPAN:]
+    differ = after[1:] != after[:-1]
+    same = np.where(differ.any(1), differ.argmax(1), LENGTH)
+    same = np.concatenate([[0], np.where(group[order][1:] == group[order][:-1], same, 0)])
+    rank = np.empty(k, np.int64)
+    rank[order] = np.arange(k)
+    before, rows, levels, lcps = group, [], [], []
+    for e in range(SPAN + 1):
+        if e:  # one byte more in front: `before` numbers what is equal in front of the anchor
+            key = before * 256 + m[:, SPAN - e]
+            order = order[np.argsort((group * 256 + m[:, SPAN - e])[order], kind="stable")]
+            before = np.empty(k, np.int64)
+            before[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
+        own = order[(left[order] >= e) & (right[order] >= LENGTH - e)]
+        if len(own) > 1:
+            tail = np.cumsum(same < LENGTH - e)[rank[own]]  # numbers what is equal from the anchor on
+            equal = (np.diff(before[own]) == 0) & (np.diff(tail) == 0)
+            rows.append(own)
+            levels.append(np.full(len(own), e))
+            lcps.append(np.concatenate([[0], np.where(equal, LENGTH, 0)]))
+    out = np.zeros((k, SPAN + 1), bool)
+    if rows:
+        row, level = np.concatenate(rows), np.concatenate(levels)
+        hit = previous_factors(place[row], np.concatenate(lcps)) >= LENGTH
+        out[row[hit], level[hit]] = True
+    return out
+
+
+def _solved(t: pa.Table) -> pa.RecordBatch:
+    doc, h1, lo, n, at = (t.column(x).to_numpy().astype(np.int64) for x in ("doc", "h1", "lo", "len", "at"))
+    key = t.column("a").to_numpy()
+    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    by = np.lexsort((lo + at, h1, doc))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.cumsum(np.concatenate([[0], (np.diff((lo + at)[by]) != 0) | (np.diff(h1[by]) != 0) | (np.diff(doc[by]) != 0)]))
+    hit = covered(group, _frame(t.column("ctx").to_pylist(), at, n), at, n - at, place)
+    edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, first = np.nonzero(edge == 1)
+    _, last = np.nonzero(edge == -1)
+    cols = (doc[row], h1[row], (lo + at)[row] - (last - 1), (lo + at)[row] - first + LENGTH)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [x.split()[0] for x in RANGES.split(", ")])
+
 
+def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by anchor; whole anchors are compared together, CHUNK contexts or a little more at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
@@ -197,22 +241,59 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends, at = np.append(np.flatnonzero(np.diff(a)) + 1, len(a)), 0
             while at < cut:
                 to = min(int(ends[np.searchsorted(ends, min(at + CHUNK, cut))]), cut)
-                yield solved(t.slice(at, to - at))
+                yield _solved(t.slice(at, to - at))
                 at = to
             held = t.slice(cut).to_batches()
     if held and sum(len(x) for x in held):
-        yield solved(pa.Table.from_batches(held).combine_chunks())
+        yield _solved(pa.Table.from_batches(held).combine_chunks())
+
+
+def halves(low: int, high: int) -> list[tuple[int, int]]:
+    middle = (low + high) // 2
+    return [(x, y) for x, y in ((low, middle), (middle, high)) if x < y]
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of LENGTH bytes in the contexts, as two hashes and its place."""
+def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each half of a context's range of beginnings (low to high - 1 bytes before the anchor) that holds a
+    string: the window of the context that its strings lie in, keyed by the bytes that they all hold."""
     for batch in batches:
-        doc, h1, lo = (batch.column(x).to_pylist() for x in ("doc", "h1", "lo"))
-        for i, ctx in enumerate(batch.column("ctx").to_pylist()):
-            h = gram_hashes(np.frombuffer(ctx, np.uint8))
-            n = len(ctx) - LENGTH + 1
-            w = [mix64(sum((mix64(h[s : s + n] + np.uint64(seed + k)) * np.uint64(2 * k + 1) for k, s in enumerate((0, 32, 64, 68))), np.zeros(n, np.uint64))) for seed in (11, 77)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in w), pa.array(np.full(n, doc[i])), pa.array(np.full(n, h1[i])), pa.array(lo[i] + np.arange(n))], ["w1", "w2", "doc", "h1", "start"])
+        out = []
+        for a, low, high, doc, h1, lo, at, ctx in zip(*(batch.column(x).to_pylist() for x in ("a", "low", "high", "doc", "h1", "lo", "at", "ctx")), strict=True):
+            for x, y in halves(low, high):
+                first, last = max(x, LENGTH - (len(ctx) - at)), min(y - 1, at)
+                if first > last:
+                    continue
+                start, end = at - last, min(len(ctx), at + LENGTH - x)
+                window = ctx[start:end]
+                core = ctx[at - x : at + LENGTH - y + 1]
+                key = xxhash.xxh64_intdigest(a.to_bytes(8, "little", signed=True) + bytes([x, y]) + core)
+                c = np.frombuffer(xxhash.xxh3_128_digest(bytes([last]) + window), np.int64)
+                out.append((key - (key >> 63 << 64), x, y, int(c[0]), int(c[1]), doc, h1, lo + start, len(window), last, window))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()]
+        cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in WINDOWS.split(", ")])
+
+
+WINDOWS = "a long, low int, high int, c1 long, c2 long, doc long, h1 long, lo long, len int, at int, ctx binary"
+
+
+def _split(contexts: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of anchors that a task can't take, as (contexts that it can take, covered ranges)."""
+    place = F.struct("doc", "h1", "lo", "len", "at", "ctx")
+    firsts = contexts.groupBy("a", "c").agg(F.min(place).alias("s")).select("a", "s.*")
+    open_, fit, done = materialise(firsts.withColumns({"low": F.lit(0), "high": F.lit(SPAN + 1)}), "hot-contexts"), [], []
+    while not open_.isEmpty():
+        windows = materialise(open_.mapInArrow(_halved, WINDOWS), "hot-windows")
+        equal = windows.groupBy("a", "low", "high", "c1", "c2").agg(F.min(place).alias("s"), F.count(F.lit(1)).alias("n"))
+        equal = materialise(equal.select("a", "low", "high", "c1", "c2", "s.*", "n"), "hot-leaders")
+        led = equal.filter("n > 1").select("a", "c1", "c2", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
+        again = windows.join(led, ["a", "c1", "c2"]).filter("not (doc = d0 and h1 = h0 and lo = l0)")
+        done.append(again.select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end")))
+        many = equal.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > most).select("a")
+        fit.append(equal.join(many, "a", "left_anti").select("a", "doc", "h1", "lo", "len", "at", "ctx"))
+        last, open_ = open_, materialise(equal.join(many, "a", "left_semi").select("a", "doc", "h1", "lo", "len", "at", "ctx", "low", "high"), "hot-contexts")
+        discard(last)
+    return fit, done
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,41 +325,48 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
 
     Strings of LENGTH bytes are removed wherever they also start earlier, by doc_id, then place. Null text is empty;
     a null id comes first; rows with one id and different texts are ordered by a hash of the text; rows equal in both
-    count as one document and get the same result. Columns of docs named like an output, doc, h1 or ranges go.
+    count as one document and get the same result. An empty table stays empty. Columns of docs named like an output,
+    doc, h1, h2 or ranges go.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "doc", "h1", "ranges")
-    src = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "h1": F.xxhash64(F.coalesce("text", F.lit("")))})
-    texts = src.select("doc", "h1", "text").filter(F.octet_length("text") >= LENGTH)
-    # Equal texts: the first one stands for all, the others are covered from end to end.
-    equal = texts.groupBy("h1").agg(F.min("doc").alias("d0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "d0")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "doc", "h1", "h2", "ranges")
+    src = docs.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumns(dict(zip(("h1", "h2"), text_key(), strict=True)))
+    texts = src.select("doc", "h1", "h2", "text").filter(F.octet_length("text") >= LENGTH)
+    # Equal texts (by 128 bits): the first one stands for all, the others are covered from end to end.
+    equal = texts.groupBy("h1", "h2").agg(F.min("doc").alias("d0"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2", "d0")
     equal = materialise(equal, "equal-texts")
-    copied = bitmap(equal, "h1", COPY_BITS)
-    maybe = texts.mapInArrow(_maybe_copied(copied), "doc long, h1 long, text string").join(equal, "h1", "left")
-    heads = materialise(maybe.filter("d0 is null or doc = d0").select("doc", "h1", "text").dropDuplicates(["doc", "h1"]), "first-texts")
-    whole = src.select("doc", "h1", F.octet_length("text").cast("long").alias("end")).filter(F.col("end") >= LENGTH).join(equal, "h1").filter("doc <> d0").select("doc", "h1", F.lit(0).cast("long").alias("start"), "end")
+    copied = bitmap(equal, "h1", bits_for(equal.count()))
+    maybe = texts.mapInArrow(_maybe_copied(copied), "doc long, h1 long, h2 long, text string").join(equal, ["h1", "h2"], "left")
+    heads = materialise(maybe.filter("d0 is null or doc = d0").select("doc", "h1", "h2", "text").dropDuplicates(["doc", "h1", "h2"]).drop("h2"), "first-texts")
+    texts = texts.drop("h2")
+    whole = src.select("doc", "h1", "h2", F.octet_length("text").cast("long").alias("end")).filter(F.col("end") >= LENGTH).join(equal, ["h1", "h2"]).filter("doc <> d0").select("doc", "h1", F.lit(0).cast("long").alias("start"), "end")
 
     def over(make, schema: str) -> DataFrame:
         return texts.mapInArrow(make(copied), schema).unionByName(heads.mapInArrow(make(None), schema))
 
     counts = over(_counts, "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
-    met = bitmap(counts.filter("n > 1"), "a")
+    counts = materialise(counts.filter("n > 1").select("a"), "repeated-anchors")
+    met = bitmap(counts, "a", bits_for(counts.count()))
+    discard(counts)
     found = over(lambda skip: _occurrences(skip, met), f"{PLACE}, n long").groupBy("a", "c")
-    leaders = materialise(found.agg(F.min(F.struct("doc", "h1", "lo")).alias("s"), F.sum("n").alias("n")).select("a", "c", "s.*", "n"), "repeat-leaders")
+    leaders = found.agg(F.min(F.struct("doc", "h1", "lo")).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    leaders = materialise(leaders.select("a", "c", "s.*", "n", "rows"), "repeat-leaders")
     led = leaders.filter("n > 1").select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
     again = over(lambda skip: _occurrences(skip, met, firsts=False), PLACE).join(led, ["a", "c"])
     again = again.filter("not (doc = d0 and h1 = h0 and lo = l0)").select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end"))
     # Contexts of anchors that have several. What else their bitmap lets through does no harm: equal strings are equal.
-    several = materialise(leaders.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1"), "mixed-anchors")
-    mixed = bitmap(leaders.select("a", "c").join(several, "a"), "c")
+    several = leaders.groupBy("a").agg(F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("rows")).filter("contexts > 1")
+    several = materialise(several.select("a", "contexts", "rows"), "mixed-anchors")
+    mixed = bitmap(leaders.select("a", "c").join(several, "a"), "c", bits_for(several.agg(F.coalesce(F.sum("contexts"), F.lit(0))).first()[0]))
     contexts = over(lambda skip: _occurrences(skip, met, mixed), f"{PLACE}, ctx binary")
-    hot = several.filter(F.col("contexts") > most).select("a")
-    local, spread = contexts, None
+    hot, ranges = several.filter(F.col("rows") > most).select("a"), again.unionByName(whole)
+    local = contexts.drop("c")
     if not hot.isEmpty():
-        local = contexts.join(hot, "a", "left_anti")
-        strings = contexts.join(hot, "a", "left_semi").select("doc", "h1", "lo", "ctx").mapInArrow(_strings, "w1 long, w2 long, doc long, h1 long, start long")
-        first = strings.groupBy("w1", "w2").agg(F.min(F.struct("doc", "h1", "start")).alias("s"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        spread = strings.join(first, ["w1", "w2"]).filter("not (doc = s.doc and h1 = s.h1 and start = s.start)").select("doc", "h1", "start", (F.col("start") + LENGTH).alias("end"))
-    local = local.repartition("a").sortWithinPartitions("a").mapInArrow(_local, RANGES)
-    again = again.unionByName(whole) if spread is None else again.unionByName(whole).unionByName(spread)
-    ranges = again.unionByName(local).distinct().groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    return src.join(ranges, ["doc", "h1"], "left").select(*src.columns, "ranges").mapInArrow(_cut, schema_with(docs, "n_bytes long, n_removed long, n_spans long, kept binary"))
+        local = contexts.join(hot, "a", "left_anti").drop("c")
+        fit, done = _split(contexts.join(hot, "a", "left_semi"), most)
+        for x in done:
+            ranges = ranges.unionByName(x)
+        for x in fit:
+            local = local.unionByName(x)
+    ranges = ranges.unionByName(local.repartition("a").sortWithinPartitions("a").mapInArrow(_local, RANGES))
+    ranges = ranges.distinct().groupBy("doc", "h1").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return src.join(ranges, ["doc", "h1"], "left").drop("h2").select(*docs.columns, "doc", "h1", "ranges").mapInArrow(_cut, schema_with(docs, "n_bytes long, n_removed long, n_spans long, kept binary"))
