@@ -124,6 +124,16 @@ def test_near_duplicates(spark, tmp_path, monkeypatch, rounds):
     want = classes(docs)
     assert {d: r["class_id"] for d, r in got.items()} == want
     assert all(r["class_size"] == sum(c == r["class_id"] for c in want.values()) for r in got.values())
+    texts = dict(docs)
+    for d, r in got.items():
+        others = {texts[x] or "" for x, c in want.items() if c == r["class_id"]} - {texts[d] or ""}
+        assert (r["n_links"] > 0) == bool(others) and r["n_links"] <= len(others)
+
+
+def test_texts_whose_hashes_clash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "text_key", lambda: [(F.xxhash64("text") % 2).alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")])
+    df = spark.createDataFrame([(i, f"{'abcdefgh'[i % 8]} own words of this text") for i in range(16)], "doc_id long, text string")
+    assert {r["class_id"]: r["class_size"] for r in minhash_dedup.near_duplicates(df).collect()} == {i: 2 for i in range(8)}
 
 
 def test_near_duplicates_odd_tables(spark):

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import bitmap, discard, in_bitmap, materialise, mix64, slices
+from textkiln.llm.common import bitmap, discard, in_bitmap, materialise, mix64, slices, text_key
 from textkiln.llm.components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -223,8 +223,9 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return heads.unionByName(rest).repartition("p", "part").sortWithinPartitions("p", "part", F.col("x").asc_nulls_first()).mapInArrow(_compared, "p long, x long, sim double")
 
 
-def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """node, comp of texts (h1, text) that are linked to others; a component is named by its smallest node."""
+def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """For texts (h1, text) that are linked to others: node, comp (a component is named by its smallest node); and node,
+    n_links: how many other texts a text was tested to be similar to."""
     banded = src.select("h1", "text").mapInArrow(_banded, "node long, buckets array<long>").dropDuplicates(["node"])
     members = banded.select("node", F.explode("buckets").alias("b"))
     shared = members.groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -280,32 +281,49 @@ def text_classes(src: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         tested = tested.unionByName(new)
         if not new.filter(F.col("sim") >= similarity).isEmpty():
             comps = components(linked())
+    degree = linked().select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = materialise(degree, "text-links")
     discard(*scratch)
-    return comps
+    return comps, degree
 
 
 def _classes(src: DataFrame, similarity: float) -> DataFrame:
-    """h1 of every text with its class: class_id, class_size, the text it is named for (of), the rows of that text
-    with that id (same)."""
-    comps = text_classes(src, similarity).withColumnRenamed("node", "h1")
+    """h1 of every text with its class: class_id, class_size, n_links, the text it is named for (of), the rows of that
+    text with that id (same)."""
+    comps, degree = text_classes(src, similarity)
+    comps = comps.join(degree, "node").withColumnRenamed("node", "h1")
     rows = src.groupBy("h1", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("h1").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "n")).alias("s"), F.sum("n").alias("n"))
     rows = rows.join(comps, "h1", "left").withColumn("comp", F.coalesce("comp", "h1"))
     least = F.min(F.struct("s.none", "s.doc_id", "h1", "s.n"))
     classes = rows.groupBy("comp").agg(least.alias("s"), F.sum("n").alias("class_size"))
     classes = classes.select("comp", F.col("s.doc_id").alias("class_id"), "class_size", F.col("s.h1").alias("of"), F.col("s.n").alias("same"))
-    return materialise(rows.select("h1", "comp").join(classes, "comp").drop("comp"), "classes")
+    links = F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    out = materialise(rows.select("h1", "comp", links).join(classes, "comp").drop("comp"), "classes")
+    discard(degree)
+    return out
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.drop("class_id", "class_size", "h1").withColumn("h1", F.xxhash64(F.coalesce("text", F.lit(""))))
+    """docs with h1, a number that stands for the text (null like empty).
+
+    It is a 64-bit hash. Different texts that share it are told apart by a second one, and get a number made from both.
+    """
+    h1, h2 = text_key()
+    docs = docs.drop("class_id", "class_size", "n_links", "h1", "h2").withColumns({"h1": h1, "h2": h2})
+    clash = docs.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi").select("h1", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        return docs.drop("h2")
+    clash = materialise(clash, "hash-clashes")
+    return docs.join(clash, "h1", "left").withColumn("h1", F.when(F.col("clash"), F.xxhash64(F.lit("both"), "h1", "h2")).otherwise(F.col("h1"))).drop("h2", "clash")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs' columns and class_id (the smallest doc_id of the class) and class_size (its rows).
+    """docs' columns and class_id (the smallest doc_id of the class), class_size (its rows), n_links (the other texts
+    that the document's was tested to be similar to: at least one unless its class is of one text).
 
     Equal texts are one class whatever they hold; texts without words are alike only when equal. Words are what white
-    space separates. Null text is empty. Ids may repeat or be null; a class without any id has a null class_id.
-    Columns of docs named class_id, class_size or h1 are replaced.
+    space separates. Null text is empty; an empty table stays empty. Ids may repeat or be null; a class without any id
+    has a null class_id. Columns of docs named like an output, h1 or h2 are replaced.
     """
     src = _hashed(docs)
     return src.join(_classes(src, similarity).drop("of", "same"), "h1").drop("h1")
