@@ -1,6 +1,7 @@
 """Operators and their queries against brute force, on planted fixtures and the small tables."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,45 @@ def test_pii_matches_plain_patterns(spark, tmp_path, small):
     assert got[len(texts) - 2]["spans"] == "ssn:4:15" and got[len(texts) - 1]["spans"] == ""
 
 
+def test_secrets_and_context(spark):
+    key, ghp, aws = "40d78a45c418324758e099eb7cb89bc0f5fa9f62", "ghp_" + "a1B2" * 9, "AKIA" + "Z9" * 8
+    texts = {
+        f'x token = "{key}"### y': [("secret", key)],
+        f"commit {key} of tokenizers": [],
+        f"API_KEY: {key}": [("secret", key)],
+        f"{ghp} and {aws}": [("secret", ghp), ("secret", aws)],
+        "-----BEGIN RSA PRIVATE KEY-----\nMII": [("secret", "-----BEGIN RSA PRIVATE KEY-----")],
+        "the key " + "abcdefghij" * 3 + " has no digit": [],
+        "SSNs: 078-05-1120": [("ssn", "078-05-1120")],
+        "lessn 078-05-1120": [],  # no word of its own
+        "social security number 078-05-1120": [("ssn", "078-05-1120")],
+        None: [],
+    }
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, pii int")
+    got = {r["text"]: [(s["kind"], s["text"]) for s in r["pii"]] for r in pii.detect(df).collect()}
+    assert got == texts
+    hotel = spark.createDataFrame([(1, "hotel +49 30 1234567"), (2, "tel +49 30 1234567")], "doc_id long, text string")
+    assert [r["pii"][0]["score"] for r in pii.detect(hotel).orderBy("doc_id").collect()] == [0.7, 1.0]
+    assert pii.detect(df.limit(0)).count() == 0
+
+
+def test_every_planted_secret_is_found(spark):
+    docs = table(spark, "/root/testdata/sf0.1", "documents").filter("text like '%token = %'").select("doc_id", "text")
+    got = pii.detect(docs).select(F.regexp_count("text", F.lit('token = "[0-9a-f]{40}"')).alias("n"), pii.count_of(F.col("pii"), "secret").alias("found")).collect()
+    assert len(got) > 100 and all(r["n"] == r["found"] for r in got)
+
+
+def test_many_matches_cost_in_proportion(spark):
+    seconds = []
+    for n in (1_000, 4_000, 16_000):
+        began = time.time()
+        df = spark.range(1).select(F.lit(0).alias("doc_id"), F.repeat(F.lit("ab@c.de 1.2.3.4 "), n).alias("text"))
+        assert pii.detect(df).select(F.size("pii").alias("n")).first()["n"] == 2 * n
+        seconds.append(time.time() - began)
+    assert seconds[2] < 8 * seconds[1] + 2
+    print(seconds)
+
+
 def test_account_numbers_next_to_words(spark):
     de, gb, mt = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
     other = "ZZ59 1234 5678 9012 3456"  # a code without a length of its own

@@ -37,7 +37,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
-    n = [pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in pii.BASE]
+    n = [pii.count_of(F.col("pii"), k).alias(f"n_{k}") for k in pii.PATTERNS] + [F.size("pii").cast("long").alias("n_spans")]
     return found.select("doc_id", *n, F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("pii")).alias("spans"))
 
 
