@@ -5,6 +5,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -284,8 +285,6 @@ def test_packing_pads_little(spark):
 
 
 def test_segment_encoder_equals_the_tokenizer():
-    import pyarrow as pa
-
     e = SegmentEncoder(vocabulary(), memo=500)
     rng = random.Random(5)
     texts = ["".join(rng.choice("aZéñ中'’s.,!-_ \n  \t0½ \x1c ") for _ in range(rng.randint(0, 40))) for _ in range(3_000)]
@@ -318,6 +317,45 @@ def test_token_counts_follow_edits(spark, small):
     assert token_counts.recount(token_counts.count(df.limit(0))).count() == 0
 
 
+def test_token_query_equals_the_tokenizer(spark, tmp_path, small):
+    tok = SegmentEncoder(vocabulary()).tokenizer
+    mixed = ["Dear a.b@c.de,\n\n\tsee  x_y@z.org now. " * 60, " lead and trail a@b.cc  ", "中文，a@b.cn。字" * 400, "tabs\tand\u00a0blanks " * 300 + "q@r.st"]
+    texts = [t for _, t in small] + [t for t in ODD if t is None or len(t) < 5_000] + mixed
+    n = lambda t: len(tok.encode(t, add_special_tokens=False).ids)
+    for r in queries.op5_token_counts(spark, saved(spark, tmp_path, texts)).collect():
+        text, out = texts[r["doc_id"]] or "", texts[r["doc_id"]] or ""
+        emails = [(a, b) for k, a, b in brute.pii(text) if k == "email"]
+        for a, b in reversed(emails):
+            out = out[:a] + "[email]" + out[b:]
+        assert (r["n_tokens_before"], r["n_tokens"], r["n_edits"]) == (n(text), n(out), len(emails)), text[:80]
+        assert r["n_reencoded_chars"] <= len(emails) * 3_000
+
+
+def test_leaves_are_cut_in_any_text_and_anew_when_they_grow():
+    encode = SegmentEncoder(vocabulary())
+    rng = random.Random(3)
+    text = "".join(rng.choice(["word", " ", "\n\n", "\t", "  ", "it's", ".", "é", "中", "7", "\u00a0", "...", "_"]) for _ in range(6_000))
+    cut = token_counts.leaves_of(text, 64)
+    assert "".join(cut) == text and len(cut) > 100
+    assert sum(len(encode.tokenizer.encode(x, add_special_tokens=False).ids) for x in cut) == len(encode.tokenizer.encode(text, add_special_tokens=False).ids)
+    (chars, counts), spent = token_counts.build(encode, pa.array([text]), 64)[0], []
+    tree = token_counts.tree_of(counts)
+    for i in range(40):  # one place grows; other leaves stay as they are
+        edit = {"start": 1_000, "end": 1_000 + i % 3, "replacement": "some more words, and more. " * 10}
+        text, chars, tree, used = token_counts.edited(encode, text, chars, tree, [edit], 64)
+        spent.append(used)
+        assert tree[0] == len(encode.tokenizer.encode(text, add_special_tokens=False).ids) and chars.sum() == len(text)
+    assert max(spent[10:]) <= max(spent[:10]) + 64 and chars.max() < 1_000
+
+
+def test_edits_that_do_not_fit_change_nothing(spark):
+    bad = [[(2, 1, "x")], [(0, 3, "x"), (2, 4, "y")], [(0, 99, "x")], [(-1, 2, "x")], [(3, 4, "a"), (0, 1, "b")], [(None, 1, "x")], [None]]
+    rows_ = [(i, "some text", e) for i, e in enumerate([*bad, [(0, 4, None)], None, []])]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, edits array<struct<start:int,end:int,replacement:string>>")
+    got = {r["doc_id"]: (r["text"], r["n_edits"]) for r in token_counts.recount(token_counts.count(df)).collect()}
+    assert got == {i: ("some text", None) for i in range(len(bad))} | {7: (" text", 1), 8: ("some text", 0), 9: ("some text", 0)}
+
+
 def test_exact_topk(spark):
     rng = np.random.default_rng(1)
     x = [[float(v) for v in row] for row in rng.normal(size=(700, 12)).round(2)] + [[0.5] * 12] * 300

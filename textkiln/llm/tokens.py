@@ -2,7 +2,7 @@
 
 A byte-level BPE first cuts a text into pre-tokens and encodes each on its own, so a segment that starts and ends at
 such a cut has the same ids wherever it stands. In a text whose white space is only single blanks and single line
-ends, each between other characters, every blank starts a pre-token and every line end is one. Such texts are cut
+ends, each in front of another character, every blank starts a pre-token and every line end is one. Such texts are cut
 there and the segments' ids are looked up; segments met for the first time are encoded together. Other texts are
 encoded whole, by the tokenizer. Segments are encoded by a second implementation of the same merges, read from the
 same file, which takes a quarter of the time; it is refused unless ids are in the order of the merges.
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 MEMO = 300_000
 #: Texts that are encoded whole (for RE2; \\s would only be ASCII).
 _SPACES = "\\t\\x0b\\x0c\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
-_ODD = f"^$|^[ \\n]|[ \\n]$|[ \\n][ \\n]|[{_SPACES}\\x00]"
+_ODD = f"^$|[ \\n]$|[ \\n][ \\n]|[{_SPACES}\\x00]"
 #: New segments are encoded in runs of so many.
 RUN = 512
 
