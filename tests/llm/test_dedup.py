@@ -178,6 +178,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == left
 
 
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    odd = [(None, "words of an odd document here"), (None, None), (3, "same words in both rows"), (3, "same words in both rows"), (4, ""), (5, "words of an odd document are the same in both rows here " * 2_000)]
+    rows = [(i, t, "en" if t else None, None, None) for i, t in odd]
+    for name, items in (("some", [(None, "words of an odd"), (1, None)]), ("none", [])):
+        sf = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in ("h1", "kept", "hits", "score", "ids", "class_id")})
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        for stage, f in corpus_pipeline.STAGES:
+            src = table(spark, sf, "documents")
+            for df, n in ((src, {"language_id": 4, "near_dedup": 4}.get(stage, 6)), (src.limit(0), 0)):
+                out = f(spark, df, sf)
+                got = out.select("doc_id").distinct().count() if stage == "packing" else out.count()
+                assert got == (min(n, 4) if stage == "packing" else n), stage
+                assert stage == "packing" or out.columns == list(corpus_pipeline.COLUMNS)
+        assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == 3
+
+
+def test_pipeline_drops_noise(spark):
+    identify = dict(corpus_pipeline.STAGES)["language_id"]
+    rng = random.Random(1)
+    clean = [(i, " ".join(rng.choice("the house and a garden of old trees is near this small river".split()) for _ in range(80)), "en", "s", 0) for i in range(200)]
+    noise = [(1_000, "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)), "en", "s", 0)]
+    got = {r["doc_id"] for r in identify(spark, spark.createDataFrame(clean + noise, DOCS), "").collect()}
+    assert got == set(range(200))
+
+
 def test_pipeline_language_of_documents_without_one(spark):
     identify = dict(corpus_pipeline.STAGES)["language_id"]
     texts = [None, "", "123 _ 4", "words here", "½", "é", "中文", "\u0301 ٣"]

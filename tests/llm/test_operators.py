@@ -143,6 +143,16 @@ def test_line_dedup(spark, tmp_path, small):
     assert line_dedup.drop_frequent_lines(d.limit(0)).count() == 0
 
 
+def test_decontamination_query(spark, tmp_path, small):
+    items = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()] + [(9, "Short item"), (10, None), (100, "a b")]
+    texts = [t for _, t in small] + [*ODD, "a SHORT-item, and a short item", f"so: {items[0][1]} {items[1][1]}", "b a B"]
+    sf = saved(spark, tmp_path, texts)
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    got = rows(queries.op4_decontamination(spark, sf), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(brute.contamination(list(enumerate(texts)), items))
+    assert sum(r[3] > 1 for r in got) >= 1
+
+
 @pytest.mark.parametrize("source", ["one file", "several files", "a union"])
 def test_line_dedup_goes_through_the_runs(spark, tmp_path, monkeypatch, small, source):
     made, joined = [], []
