@@ -15,22 +15,24 @@ from textkiln.llm import decontamination, language_id, line_dedup, minhash_dedup
 from textkiln.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if noise makes its n-grams, on average, likelier than its language does by more than a factor of e.
+LEAST_FIT = -1.0
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in none of the languages of the corpus go; those without a `lang` get the predicted one.
 
     The model is fitted on all documents with a `lang`. A document goes if it has no letter (or its text is null), or if
-    noise, all n-gram buckets being as likely, explains its text better than the likeliest language does. A `lang` that a
-    document has stays, whatever is predicted. Where no document has one, there is nothing to learn from: it stays null,
-    and every document with a letter stays. Ids are not used, so null and repeated ones and repeated rows are documents
-    like others; an empty table stays empty; columns beyond those of documents go.
+    noise, all n-gram buckets being as likely, explains its text better than the likeliest language does, by LEAST_FIT.
+    A `lang` that a document has stays, whatever is predicted. Where no document has one, there is nothing to learn from:
+    it stays null, and every document with a letter stays. Ids are not used, so null and repeated ones and repeated rows
+    are documents like others; an empty table stays empty; columns beyond those of documents go.
     """
     model = language_id.train(docs)
     docs = docs.select(*COLUMNS)
     if not model.labels:
         return docs.filter(language_id.has_letter(F.col("text")))
-    found = language_id.predict(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("fit") >= 0))
+    found = language_id.predict(docs, model).filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("fit") >= LEAST_FIT))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
