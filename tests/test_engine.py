@@ -2,14 +2,15 @@
 
 import datetime as dt
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from textkiln.functions.text import fingerprint, is_blank, java_pattern, java_replacement
 from textkiln.operators import codec, density, facts, ledger, lines, savings
-from textkiln.plans import runs
-from textkiln.sources import captures, profiles
+from textkiln.plans import runs, surface
+from textkiln.sources import captures, profiles, store
 from textkiln.streaming.ledger import stateful_ledger
 
 S = lines.Stage
@@ -107,9 +108,84 @@ def test_ledger(spark):
     df = spark.createDataFrame(ledger_rows(), "run_id long, session_id string, ts timestamp, raw_output string")
     out = {r["run_id"]: (r["turn"], r["first_turn"], r["deduped"]) for r in ledger.ledger(df, order=["ts", "run_id"]).collect()}
     assert out == {0: (1, 1, False), 1: (2, 2, False), 2: (3, 1, True), 3: (4, 4, False), 4: (5, 5, False), 5: (6, 5, True), 6: (1, 1, False)}
-    seen = spark.createDataFrame([("s", i + 1, f) for i, f in enumerate("abcabca")], "session_id string, turn int, fingerprint string")
-    far = {r["turn"]: (r["distance"], r["evicted"]) for r in ledger.evicted(seen, most=2).collect()}
-    assert far[4] == (2, True) and far[1] == (None, False)
+    odd = [(1, "s", None, "a"), (2, "s", None, "a"), (3, "s", dt.datetime(2024, 1, 1), None), (4, "s", dt.datetime(2024, 1, 1), None), (5, None, dt.datetime(2024, 1, 1), "")]
+    for most in (10, 1):
+        got = ledger.ledger(spark.createDataFrame(odd, "run_id long, session_id string, ts timestamp, raw_output string"), order=["run_id"], most=most)
+        assert {r["run_id"]: r["first_turn"] for r in got.collect()} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 1}
+    assert ledger.ledger(df.limit(0), order=["ts"]).count() == 0
+
+
+def sequential(uses, ttl, most):
+    """The ledger run by run: uses are (run_id, session, seconds, fingerprint)."""
+    out, state = {}, {}
+    for run_id, session, now, fp in uses:
+        turn, known = state.get(session, (0, {}))
+        turn, known = turn + 1, {k: v for k, v in known.items() if now - v[1] < ttl}
+        first = known[fp][0] if fp in known else turn
+        known[fp] = (first, now)
+        known = dict(sorted(known.items(), key=lambda x: -x[1][1])[:most])
+        state[session] = (turn, known)
+        out[run_id] = (turn, first, turn > first)
+    return out
+
+
+def test_entries_make_room_and_are_kept_between_calls(spark, tmp_path):
+    rng = random.Random(6)
+    uses, now = [], {"s": 0, "t": 0, "few": 0}
+    for i in range(600):
+        s = rng.choice(["s", "s", "t"]) if i % 100 else "few"
+        now[s] += rng.choice([1, 2, 30, 99, 100, 101])
+        uses.append((i, s, now[s], f"f{int(rng.paretovariate(0.6)) % 40}"))
+    t0 = dt.datetime(2024, 1, 1)
+    frame = lambda part: spark.createDataFrame([(i, s, t0 + dt.timedelta(seconds=x), f) for i, s, x, f in part], "run_id long, session_id string, ts timestamp, fingerprint string")
+    told = lambda df: {r["run_id"]: (r["turn"], r["first_turn"], r["deduped"]) for r in df.collect()}
+    for ttl, most in ((100, 12), (10_000, 7), (100, 1_000), (10_000, 1)):
+        want = sequential(uses, ttl, most)
+        assert told(ledger.ledger(frame(uses), text=None, order=["run_id"], ttl=ttl, most=most)) == want
+        got, path = {}, f"{tmp_path}/{ttl}-{most}"
+        for at in (0, 150, 151, 400):
+            part = [u for u in uses if at <= u[0] < {0: 150, 150: 151, 151: 400, 400: 600}[at]]
+            kept = store.load_entries(spark, path)
+            out = ledger.ledger(frame(part), text=None, order=["run_id"], ttl=ttl, most=most, entries=kept)
+            got |= told(out)
+            store.save(ledger.entries_after(out, entries=kept, ttl=ttl, most=most), path)
+        assert got == want, (ttl, most)
+    assert len(store.versions(spark, path)) == 2
+
+
+def test_legacy_entries(spark):
+    files = [("s", '{"turn": 7, "fingerprints": {"a": 3, "b": {"turn": 4, "timestamp": 1704067200.5}, "c": {"turn": 1, "timestamp": 0}}}'), ("t", "broken")]
+    got = ledger.legacy_entries(spark.createDataFrame(files, "session_id string, value string"), "2024-01-02 00:00:00").collect()
+    assert sorted((r["session_id"], r["fingerprint"], r["first_turn"], r["turn"], r["last_use"].day) for r in got) == [("s", "a", 3, 7, 2), ("s", "b", 4, 7, 1)]
+    again = spark.createDataFrame([("s", dt.datetime(2024, 1, 2, 1), "a"), ("s", dt.datetime(2024, 1, 2, 2), "c")], "session_id string, ts timestamp, fingerprint string")
+    kept = ledger.legacy_entries(spark.createDataFrame(files, "session_id string, value string"), "2024-01-02 00:00:00")
+    assert [(r["turn"], r["first_turn"]) for r in ledger.ledger(again, text=None, entries=kept).orderBy("turn").collect()] == [(8, 3), (9, 9)]
+
+
+def test_workspace(spark, tmp_path):
+    w, t = surface.Workspace(spark, f"{tmp_path}/w"), dt.datetime(2024, 1, 30)
+    text = "\n".join(f"value {hashlib.sha256(bytes([i % 256, i // 256])).hexdigest()}" for i in range(200))
+    run = lambda hours, *rows: w.run(spark.createDataFrame([("s", t + dt.timedelta(hours=hours), c, x) for c, x in rows], "session_id string, ts timestamp, command string, raw_output string"), order=["command"])
+    first = run(0, ("make", text), ("tree", text + "\nend"))
+    assert [r["deduped"] for r in first.orderBy("turn").collect()] == [False, False] and first.filter("truncated").count() == 1
+    full = w.full_output(first.filter("truncated").select("full_output_path")).first()
+    assert full["raw_output"] == text + "\nend"
+    assert [r["expanded"] == r["filtered"] for r in w.expand(first).collect()] == [True, True]
+    again = run(1, ("make", text))
+    assert [(r["turn"], r["first_turn"], r["deduped"]) for r in again.collect()] == [(3, 1, True)]
+    assert w.analytics("2024-01-31 00:00:00", "day").first()["runs"] == 3 and "| All | 3 | " in w.analytics("2024-01-31 00:00:00").first()["report"]
+    assert w.search("nothing").count() == 0
+    w.remember(spark.createDataFrame([(1, "app", "uses", "sql"), (2, "app", "uses", "orm"), (3, "b", None, "orm")], "id long, subject string, predicate string, object string"), "2024-01-01 00:00:00")
+    every = w.remember(spark.createDataFrame([("app", "uses", "orm"), ("b", "is", "new")], "subject string, predicate string, object string"), "2024-01-02 00:00:00")
+    assert sorted((r["subject"], r["object"], r["valid_until"] is None) for r in every.collect()) == [("app", "orm", True), ("app", "sql", False), ("b", "new", True), ("b", "orm", False)]
+    assert [r["line"] for r in w.search("app ORM").collect()] == ["- app uses orm (score: 1.00)"]
+    assert [r["line"] for r in w.search("b", "temporal", "2024-01-01 12:00:00").collect()] == ["- b is orm"]
+    late = w.run(spark.createDataFrame([("s", t, "x", "o1", "app"), ("s", t, "y", "o2", None), ("s", dt.datetime(2023, 1, 1), "z", "o3", "app")], "session_id string, ts timestamp, command string, raw_output string, current_file string"), order=["command"])
+    assert {r["command"]: r["memories_injected"] for r in late.collect()} == {"x": 1, "y": 0, "z": 0}
+    assert w.analytics("2024-01-31 00:00:00", "all").first()["memories_used"] == 1
+    with pytest.raises(NotImplementedError):
+        w.search("x", "semantic")
+    assert w.status()["status"] == "healthy"
 
 
 def test_streaming_ledger_equals_batch(spark, tmp_path):
@@ -144,7 +220,8 @@ def test_savings(spark):
     assert (by["week"]["runs"], by["week"]["saved_tokens"], by["week"]["reduction_pct"]) == (2, 5400, 90.0) and by["all"]["runs"] == 3
     none = savings.report(log.limit(0), "2024-01-31 00:00:00").collect()
     assert all(r["runs"] == 0 and r["reduction_pct"] == 0 for r in none)
-    assert "| week | 2 | 6,000 | 5,400 | 90.00% |" in savings.markdown(savings.report(log, "2024-01-31 00:00:00")).first()["report"]
+    report = savings.markdown(savings.report(log, "2024-01-31 00:00:00")).first()["report"].split("\n")
+    assert report[0].startswith("# ") and report[4:6] == ["| Day | 2 | 6,000 | 600 | 5,400 | 90.0% | 1 |", "| Week | 2 | 6,000 | 600 | 5,400 | 90.0% | 1 |"] and report[-1] == ""
 
 
 def test_captures_and_responses(spark):

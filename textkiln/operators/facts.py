@@ -60,6 +60,11 @@ def keyword_search(facts: DataFrame, query: str, k: int = HITS, order: str = "id
     return active(facts).withColumn("score", s).filter("score > 0").orderBy(F.desc("score"), order).limit(k)
 
 
+def semantic_search(facts: DataFrame, query: str) -> DataFrame:
+    """There is no search by meaning: facts have no embeddings."""
+    raise NotImplementedError("facts have no embeddings; use keyword_search")
+
+
 def rendered(score: bool = False) -> Column:
     """A fact as a line of a list."""
     return F.format_string("- %s %s %s (score: %.2f)", "subject", "predicate", "object", "score") if score else F.format_string("- %s %s %s", "subject", "predicate", "object")

@@ -35,13 +35,21 @@ def report(runs: DataFrame, as_of: str, periods: tuple[str, ...] = ("day", "week
     return rows.withColumn("saved_tokens", saved).withColumn("reduction_pct", pct)
 
 
+# The columns of the report.
+HEAD = "| Period | Runs | Raw Tokens | Output Tokens | Saved Tokens | Reduction % | Memories Used |\n|---|---|---|---|---|---|---|"
+TITLE = "# Telemetry Analytics"
+
+
 def markdown(rows: DataFrame) -> DataFrame:
-    """The report as one text: a table row a period."""
-    line = F.format_string("| %s | %,d | %,d | %,d | %.2f%% |", "period", "runs", "raw_tokens", "saved_tokens", "reduction_pct")
-    head = "| Period | Runs | Raw Tokens | Saved Tokens | Reduction |\n|---|---|---|---|---|"
+    """The report as one text: a title, and a table row a period, shortest first.
+
+    Percentages have the fewest digits that two decimals need, and one at least.
+    """
+    pct = F.regexp_replace(F.format_string("%.2f", "reduction_pct"), "(?<=\\.[0-9])0$", "")
+    line = F.format_string("| %s | %d | %,d | %,d | %,d | %s%% | %d |", F.initcap("period"), "runs", "raw_tokens", "output_tokens", "saved_tokens", pct, "memories_used")
     nth = F.expr("array_position(array('day','week','month','all'), period)")
-    lines = F.array_sort(F.collect_list(F.struct(nth.alias("n"), line.alias("x"))))
-    return rows.agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(lines, lambda s: s["x"]), "\n")).alias("report"))
+    lines = F.array_sort(F.collect_list(F.struct(nth.alias("n"), line.alias("x"))))  # a row a period
+    return rows.agg(F.concat(F.lit(f"{TITLE}\n\n{HEAD}\n"), F.array_join(F.transform(lines, lambda s: s["x"]), "\n"), F.lit("\n")).alias("report"))
 
 
 def by_command(runs: DataFrame) -> DataFrame:

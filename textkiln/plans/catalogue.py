@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,13 @@ def _ttl(spark, d):
     return out.select("event_id", "turn", "first_turn", "deduped")
 
 
+def _lru(spark, d):
+    """Of a session's event types the last two used stay."""
+    e = _table(spark, d, "events").select("event_id", F.col("user_id").alias("session_id"), "ts", F.col("event_type").alias("fingerprint"))
+    out = ledger.ledger(e, text=None, order=["ts", "event_id"], most=2)
+    return out.select("event_id", "turn", "first_turn", "deduped")
+
+
 def _facts(spark, d) -> DataFrame:
     e = _table(spark, d, "events")
     f = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("subject"), F.col("event_type").alias("predicate"), F.col("props").alias("object"), F.col("ts").alias("valid_from"))
@@ -134,6 +144,50 @@ def _cap(spark, d):
     return _docs(spark, d).select("doc_id", captures.exceeds(t, 1000).alias("capped"), captures.with_error(captures.capped(t, 1000), F.when(F.col("doc_id") % 5 == 0, F.lit("failed"))).alias("out"))
 
 
+def _exit(spark, d):
+    kinds = [*captures.FAILURES, None]
+    kind = F.element_at(F.array(*(F.lit(k).cast("string") for k in kinds)), (F.col("doc_id") % len(kinds) + 1).cast("int"))
+    code, message = F.lit(0), F.when(kind.isNotNull(), F.concat(F.lit("failed: "), kind))
+    return _docs(spark, d).select("doc_id", captures.exit_code(kind, code).alias("code"), captures.error_text(kind, message).alias("message"))
+
+
+def _session(spark, d):
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("s"), F.col("doc_id") % 7))
+    context = F.when(F.col("doc_id") % 3 == 1, F.create_map(F.lit("session_id"), F.col("lang")))
+    return _docs(spark, d).select("doc_id", captures.session(given, context).alias("session_id"), captures.full_command(F.lit("git"), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("log"), F.col("lang")))).alias("command"))
+
+
+TOML = '''
+[filter.tagged]
+command = "make"
+stages = [{name = "regex_drop", pattern = "#"}, {name = "head_tail", max_lines = 4}, {name = "on_empty", fallback = "[nothing]"}]
+'''
+
+
+def _toml(spark, d):
+    """A trusted file's profile before the built-in ones; the file and its trust are read on the driver alone."""
+    with tempfile.TemporaryDirectory() as folder:
+        file, store = os.path.join(folder, "filters.toml"), profiles.TrustStore(os.path.join(folder, "trust.json"))
+        with open(file, "w", encoding="utf-8") as f:
+            f.write(TOML)
+        store.trust(file)
+        user = profiles.load_toml(file, store)
+    return _docs(spark, d).select("doc_id", profiles.apply(F.lit("make all"), F.col("text"), user).alias("out"))
+
+
+def _tee(spark, d):
+    return runs.tee(_responses(spark, d)).select("ref", F.length("raw_output").alias("chars"))
+
+
+def _runlog(spark, d):
+    """What the run log says of the runs: outputs hold tokens whose length is the codec's affair, so these are left out."""
+    return runs.run_log(_responses(spark, d)).select(F.unix_timestamp("timestamp").alias("seconds"), "command", "raw_tokens", "deduped", "session_id", "memories_used", "latency_ms")
+
+
+def _markdown(spark, d):
+    return savings.markdown(savings.report(_log(spark, d), AS_OF))
+
+
 def _responses(spark, d):
     r = _docs(spark, d).select("doc_id", F.col("lang").alias("session_id"), F.col("doc_id").cast("timestamp").alias("ts"), _commands().alias("command"), F.col("text").alias("raw_output"))
     return runs.respond(r, order=["doc_id"])
@@ -167,6 +221,7 @@ def queries() -> dict:
         "fingerprint": _fingerprint,
         "dedup_ledger": _ledger,
         "dedup_ttl": _ttl,
+        "dedup_lru": _lru,
         "facts_scd2": lambda spark, d: _facts(spark, d).select("id", "subject", "predicate", "object", "valid_from", "valid_until"),
         "facts_active": lambda spark, d: facts.active(_facts(spark, d)).select("id", "subject", "predicate", "object"),
         "facts_asof": _asof,
@@ -182,6 +237,12 @@ def queries() -> dict:
         "expand_roundtrip": _roundtrip,
         "external_store_refs": _refs,
         "output_cap": _cap,
+        "exit_codes": _exit,
+        "session_resolution": _session,
+        "toml_profiles": _toml,
+        "tee_outputs": _tee,
+        "run_log": _runlog,
+        "markdown_report": _markdown,
         "run_pipeline": _pipeline,
     }
 
@@ -225,6 +286,33 @@ def _period_sql(periods: tuple[str, ...]) -> str:
     return f"WITH {_LOG}, p AS ({' UNION ALL '.join(rows)}) SELECT *, raw_tokens - output_tokens AS saved_tokens, CASE WHEN raw_tokens > 0 THEN (raw_tokens - output_tokens)::DOUBLE / raw_tokens::DOUBLE * 100 ELSE 0.0::DOUBLE END AS reduction_pct FROM p"
 
 
+def _profile_rows() -> str:
+    """The built-in profiles as rows: name, patterns, cut and fallback."""
+    quoted = lambda x: "NULL::VARCHAR" if x is None else "'" + x.replace("'", "''") + "'"
+    rows = []
+    for name, stages in profiles.BUILT_IN.items():
+        by = {s.name: s for s in stages}
+        cut, empty = by["smart_truncate"], by.get("on_empty")
+        patterns = [quoted(by[k].pattern if k in by else None) for k in ("regex_drop", "regex_keep")]
+        rows.append(f"({quoted(name)}, {', '.join(patterns)}, {cut.max_lines}, {cut.head_ratio}::DOUBLE, {quoted(cut.priority_lines)}, {quoted(empty.fallback if empty else None)})")
+    return f"(VALUES {', '.join(rows)}) AS p(profile, dropped, kept_lines, m, ratio, priority, fallback)"
+
+
+# Every document's text after its command's profile: f has doc_id, command, text, filtered and whether it was cut.
+_FILTERED = f"""c AS (SELECT doc_id, text, lang, {_COMMAND} AS command FROM documents),
+l AS (SELECT doc_id, p.*, unnest(a) AS line, generate_subscripts(a, 1) AS i FROM (SELECT *, string_split(text, chr(10)) AS a FROM c) JOIN {_profile_rows()} ON command = profile),
+s AS (SELECT *, coalesce(regexp_matches(line, priority), false) AS first FROM l WHERE NOT coalesce(regexp_matches(line, dropped), false) AND coalesce(regexp_matches(line, kept_lines), true)),
+r AS (SELECT *, count(*) OVER d AS n, sum(first::INT) OVER d AS np, row_number() OVER (PARTITION BY doc_id, first ORDER BY i) AS x, row_number() OVER (PARTITION BY doc_id, first ORDER BY i DESC) AS y FROM s WINDOW d AS (PARTITION BY doc_id)),
+k AS (SELECT *, CASE WHEN n <= m THEN true WHEN np > m THEN first AND (x <= floor(m * ratio) OR y <= m - floor(m * ratio))
+  ELSE first OR x <= floor((m - np) * ratio) OR y <= m - np - floor((m - np) * ratio) END AS stays FROM r),
+o AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS out, count(*) AS lines, any_value(n) > any_value(m) AS cut FROM k WHERE stays GROUP BY doc_id),
+f AS (SELECT c.doc_id, c.lang, command, c.text, coalesce(cut, false) AS cut, CASE WHEN text = '' THEN '' WHEN profile IS NULL THEN text
+  WHEN cut THEN out || chr(10) || {_NOTICE} WHEN fallback IS NOT NULL AND (out IS NULL OR lines = 1 AND trim(out) = '') THEN fallback
+  ELSE coalesce(out, '') END AS filtered FROM c LEFT JOIN {_profile_rows()} ON command = profile LEFT JOIN o USING (doc_id))"""
+_REPEATS = """t AS (SELECT doc_id, lang, text, (row_number() OVER (PARTITION BY lang ORDER BY doc_id))::INT AS turn FROM documents),
+g AS (SELECT doc_id, turn, turn > min(turn) OVER (PARTITION BY lang, text) AS deduped FROM t)"""
+
+
 def oracle_sql() -> dict[str, str]:
     turn = "row_number() OVER (PARTITION BY lang ORDER BY doc_id)"
     return {
@@ -249,6 +337,31 @@ SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS out FROM u GROUP BY doc_i
 f AS (SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 604800000000)::INT, 1) AS fresh FROM t WINDOW w AS (PARTITION BY user_id, event_type ORDER BY turn)),
 e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY turn) AS epoch FROM f)
 SELECT event_id, turn, min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS first_turn, turn > min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS deduped FROM e""",
+        "dedup_lru": """WITH t AS (SELECT event_id, user_id, event_type, ts, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS turn FROM events),
+u AS (SELECT *, lag(turn) OVER w AS last, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap FROM t WINDOW w AS (PARTITION BY user_id, event_type ORDER BY turn)),
+d AS (SELECT a.event_id, count(DISTINCT b.event_type) AS others FROM u a JOIN t b ON a.user_id = b.user_id AND b.turn > a.last AND b.turn < a.turn GROUP BY a.event_id),
+f AS (SELECT u.*, (last IS NULL OR gap >= 604800000000 OR coalesce(others, 0) >= 2)::INT AS fresh FROM u LEFT JOIN d USING (event_id)),
+e AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, event_type ORDER BY turn) AS epoch FROM f)
+SELECT event_id, turn, min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS first_turn, turn > min(turn) OVER (PARTITION BY user_id, event_type, epoch) AS deduped FROM e""",
+        "builtin_filters": f"WITH {_FILTERED} SELECT doc_id, filtered AS out FROM f",
+        "run_pipeline": f"""WITH {_FILTERED}, {_REPEATS},
+a AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS i, len(a) AS n FROM (SELECT doc_id, string_split(filtered, chr(10)) AS a FROM f)),
+{_SCORED[_SCORED.index("s AS ("):].replace("s AS (", "b AS (", 1).replace("FROM l)", "FROM a)", 1).replace("k AS (", "v AS (", 1).replace("FROM s)", "FROM b)", 1)},
+w AS (SELECT doc_id, count(*) FILTER (WHERE NOT kept) AS dropped FROM v GROUP BY doc_id)
+SELECT doc_id, turn, deduped, length(text) // 4 AS raw_tokens, cut AND NOT deduped AS truncated, CASE WHEN NOT deduped THEN length(filtered) END::INT AS filtered_chars,
+  CASE WHEN NOT deduped THEN dropped END::INT AS n_drops FROM f JOIN g USING (doc_id) JOIN w USING (doc_id)""",
+        "tee_outputs": f"WITH {_FILTERED}, {_REPEATS} SELECT DISTINCT 'tee:' || sha256(text) AS ref, length(text)::INT AS chars FROM f JOIN g USING (doc_id) WHERE cut AND NOT deduped",
+        "run_log": f"WITH {_FILTERED}, {_REPEATS} SELECT doc_id AS seconds, command, length(text) // 4 AS raw_tokens, deduped, lang AS session_id, 0::BIGINT AS memories_used, NULL::BIGINT AS latency_ms FROM f JOIN g USING (doc_id)",
+        "toml_profiles": """WITH c AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: NOT contains(x, '#')) AS a FROM documents)
+SELECT doc_id, CASE WHEN text = '' THEN '' WHEN len(a) = 0 OR len(a) = 1 AND trim(a[1]) = '' THEN '[nothing]'
+  WHEN len(a) > 4 THEN array_to_string(a[1:2] || a[-2:], chr(10)) || chr(10) || """ + _NOTICE + """ ELSE array_to_string(a, chr(10)) END AS out FROM c""",
+        "exit_codes": """SELECT doc_id, CASE k WHEN 'empty' THEN 1 WHEN 'timeout' THEN -1 WHEN 'not_found' THEN 127 WHEN 'permission' THEN 126 WHEN 'os_error' THEN 1 ELSE 0 END::INT AS code,
+  CASE k WHEN 'empty' THEN '[Command is empty]' WHEN 'timeout' THEN '[Command timed out after 30s]' ELSE 'failed: ' || k END AS message
+FROM (SELECT doc_id, ['empty', 'timeout', 'not_found', 'permission', 'os_error', NULL][doc_id % 6 + 1] AS k FROM documents)""",
+        "session_resolution": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 's' || doc_id % 7 WHEN 1 THEN lang ELSE 'default' END AS session_id, CASE WHEN doc_id % 2 = 0 THEN 'git log ' || lang ELSE 'git' END AS command FROM documents",
+        "markdown_report": f"""WITH r AS ({_period_sql(("day", "week", "month", "all"))})
+SELECT '{savings.TITLE}' || chr(10) || chr(10)  || '{savings.HEAD}' || chr(10) || string_agg('| ' || upper(period[1]) || period[2:] || ' | ' || runs || ' | ' || format('{{:,}}', raw_tokens) || ' | ' || format('{{:,}}', output_tokens) || ' | '
+  || format('{{:,}}', saved_tokens) || ' | ' || regexp_replace(printf('%.2f', reduction_pct), '(\.[0-9])0$', '\1') || '% | ' || memories_used || ' |', chr(10) ORDER BY list_position(['day', 'week', 'month', 'all'], period)) || chr(10) AS report FROM r""",
         "facts_scd2": f"WITH {_FACTS} SELECT * FROM h",
         "facts_active": f"WITH {_FACTS} SELECT id, subject, predicate, object FROM h WHERE valid_until IS NULL",
         "facts_asof": f"WITH {_FACTS} SELECT id, subject, predicate, object FROM h JOIN customer ON c_custkey::VARCHAR = subject WHERE valid_from <= TIMESTAMP '{AS_OF}' AND (valid_until IS NULL OR valid_until > TIMESTAMP '{AS_OF}')",

@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkiln.functions.text import token_count
-from textkiln.operators import codec, density, lines, savings
+from textkiln.operators import codec, density, facts, lines, savings
 from textkiln.operators.ledger import ledger, marker
 from textkiln.sources import profiles
 
 
-def respond(runs: DataFrame, user: dict | None = None, order: list[str] | None = None) -> DataFrame:
+def injected(runs: DataFrame, known: DataFrame) -> DataFrame:
+    """runs with memories_injected: how many facts about the run's current_file hold at its time (none: 0)."""
+    probes = runs.select("current_file", "ts").filter("current_file is not null").distinct()
+    n = facts.as_of(known, probes, "current_file", "ts").groupBy(F.col("subject").alias("current_file"), "ts").agg(F.count(F.lit(1)).alias("memories_injected"))
+    return runs.join(n, ["current_file", "ts"], "left").withColumn("memories_injected", F.coalesce("memories_injected", F.lit(0).cast("long")))
+
+
+def respond(runs: DataFrame, user: dict | None = None, order: list[str] | None = None, entries: DataFrame | None = None) -> DataFrame:
     """runs (session_id, ts, command, raw_output) with output, deduped, raw_tokens, output_tokens, tokens_saved,
     compression_ratio, truncated, full_output_path, filtered, drops and token.
 
-    Repeats answer with a marker and skip the line program. The ledger's windows shuffle; the rest is narrow.
+    Repeats answer with a marker and skip the line program; entries are what the ledgers of earlier calls have left. The
+    ledger's windows shuffle; the rest is narrow.
     """
-    df = ledger(runs, order=order)
+    df = ledger(runs, order=order, entries=entries)
     raw, deduped = F.col("raw_output"), F.col("deduped")
     df = df.withColumn("filtered", F.when(~deduped, profiles.apply(F.col("command"), raw, user)))
     df = df.withColumn("drops", F.when(~deduped, density.drop_indices(F.col("filtered"))))
@@ -37,4 +45,5 @@ def tee(responses: DataFrame) -> DataFrame:
 
 def run_log(responses: DataFrame) -> DataFrame:
     """The rows to append to the run log."""
-    return responses.select(F.col("ts").alias("timestamp"), "command", "raw_tokens", "output_tokens", "deduped", "compression_ratio", "session_id", F.lit(0).cast("long").alias("memories_used"), F.lit(None).cast("long").alias("latency_ms"))
+    used = F.col("memories_injected") if "memories_injected" in responses.columns else F.lit(0)
+    return responses.select(F.col("ts").alias("timestamp"), "command", "raw_tokens", "output_tokens", "deduped", "compression_ratio", "session_id", used.cast("long").alias("memories_used"), F.lit(None).cast("long").alias("latency_ms"))

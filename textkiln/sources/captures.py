@@ -43,7 +43,7 @@ def read(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
 
 
 def full_command(command: Column, args: Column) -> Column:
-    return F.concat_ws(" ", command, F.array_join(F.coalesce(args, F.array().cast("array<string>")), " "))
+    return F.array_join(F.concat(F.array(command), F.coalesce(args, F.array().cast("array<string>"))), " ")
 
 
 def session(session_id: Column, context: Column) -> Column:
