@@ -277,11 +277,16 @@ def _halved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WINDOWS = "a long, low int, high int, c1 long, c2 long, doc long, h1 long, lo long, len int, at int, ctx binary"
 
 
-def _split(contexts: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Contexts of anchors that a task can't take, as (contexts that it can take, covered ranges)."""
+def _split(contexts: DataFrame, hot: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Contexts of hot anchors (a, contexts: how many different ones), as (contexts that a task can take, covered ranges).
+
+    Where only the rows were too many, leaving the first one of equal contexts is enough; else ranges are halved.
+    """
     place = F.struct("doc", "h1", "lo", "len", "at", "ctx")
-    firsts = contexts.groupBy("a", "c").agg(F.min(place).alias("s")).select("a", "s.*")
-    open_, fit, done = materialise(firsts.withColumns({"low": F.lit(0), "high": F.lit(SPAN + 1)}), "hot-contexts"), [], []
+    firsts = contexts.groupBy("a", "c").agg(F.min(place).alias("s")).select("a", "s.*").join(hot, "a")
+    firsts = materialise(firsts, "hot-contexts")
+    fit, done = [firsts.filter(F.col("contexts") <= most).drop("contexts")], []
+    open_ = firsts.filter(F.col("contexts") > most).select("a", "doc", "h1", "lo", "len", "at", "ctx", F.lit(0).alias("low"), F.lit(SPAN + 1).alias("high"))
     while not open_.isEmpty():
         windows = materialise(open_.mapInArrow(_halved, WINDOWS), "hot-windows")
         equal = windows.groupBy("a", "low", "high", "c1", "c2").agg(F.min(place).alias("s"), F.count(F.lit(1)).alias("n"))
@@ -291,8 +296,7 @@ def _split(contexts: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFr
         done.append(again.select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end")))
         many = equal.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") > most).select("a")
         fit.append(equal.join(many, "a", "left_anti").select("a", "doc", "h1", "lo", "len", "at", "ctx"))
-        last, open_ = open_, materialise(equal.join(many, "a", "left_semi").select("a", "doc", "h1", "lo", "len", "at", "ctx", "low", "high"), "hot-contexts")
-        discard(last)
+        open_ = materialise(equal.join(many, "a", "left_semi").select("a", "doc", "h1", "lo", "len", "at", "ctx", "low", "high"), "hot-contexts")
     return fit, done
 
 
@@ -358,11 +362,11 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     several = materialise(several.select("a", "contexts", "rows"), "mixed-anchors")
     mixed = bitmap(leaders.select("a", "c").join(several, "a"), "c", bits_for(several.agg(F.coalesce(F.sum("contexts"), F.lit(0))).first()[0]))
     contexts = over(lambda skip: _occurrences(skip, met, mixed), f"{PLACE}, ctx binary")
-    hot, ranges = several.filter(F.col("rows") > most).select("a"), again.unionByName(whole)
+    hot, ranges = materialise(several.filter(F.col("rows") > most).select("a", "contexts"), "hot-anchors"), again.unionByName(whole)
     local = contexts.drop("c")
     if not hot.isEmpty():
         local = contexts.join(hot, "a", "left_anti").drop("c")
-        fit, done = _split(contexts.join(hot, "a", "left_semi"), most)
+        fit, done = _split(contexts.join(hot, "a", "left_semi"), hot, most)
         for x in done:
             ranges = ranges.unionByName(x)
         for x in fit:
