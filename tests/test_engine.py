@@ -1,15 +1,19 @@
 """Operators against small cases, with the traps of moving text rules to Spark."""
 
+import base64
 import datetime as dt
 import hashlib
+import json
 import random
+import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
 from textkiln.functions.text import fingerprint, is_blank, java_pattern, java_replacement
 from textkiln.operators import codec, density, facts, ledger, lines, savings
-from textkiln.plans import runs, surface
+from textkiln.plans import catalogue, runs, surface
 from textkiln.sources import captures, profiles, store
 from textkiln.streaming.ledger import stateful_ledger
 
@@ -25,10 +29,10 @@ def program(spark, text, *stages):
 
 
 def test_stages(spark):
-    assert program(spark, "Hello \x1b[31mWorld\x1b[0m", S("strip_ansi")) == "Hello World"
-    assert program(spark, "keep this\ndrop this\nkeep that", S("regex_drop", pattern="^drop")) == "keep this\nkeep that"
-    out = program(spark, "line 1\nerror: bad\nline 3\nline 4\nline 5\nerror: worse", S("smart_truncate", max_lines=3, priority_lines="^error")).split("\n")
-    assert out[:3] == ["error: bad", "line 5", "error: worse"] and out[3].startswith("... [Truncated.") and len(out) == 4
+    assert program(spark, "\x1b[1;32mok\x1b[0m 12\x1b[K tests", S("strip_ansi")) == "ok 12 tests"
+    assert program(spark, "mem 3\ncpu 7\nmem 5", S("regex_drop", pattern="^cpu")) == "mem 3\nmem 5"
+    out = program(spark, "a\nE1\nb\nc\nd\nE2\ne", S("smart_truncate", max_lines=4, priority_lines="^E")).split("\n")
+    assert out[:4] == ["a", "E1", "E2", "e"] and out[4].startswith("... [Truncated.") and len(out) == 5
     assert len(program(spark, "p1\np2\np3", S("smart_truncate", max_lines=2, priority_lines="p")).split("\n")) == 3
     assert program(spark, "p1\np2\np3", S("smart_truncate", max_lines=2, head_ratio=1.0, priority_lines="p")).startswith("p1\np2\n...")
     assert program(spark, "a\nb\nc\nd", S("head_tail", max_lines=2, head_ratio=0.0)).startswith("c\nd\n")
@@ -53,11 +57,11 @@ def test_patterns_mean_what_python_means(spark):
 
 
 def test_profiles(spark, tmp_path):
-    clean = "On branch main\nYour branch is up to date with 'origin/main'.\n\nnothing to commit, working tree clean\n"
+    clean = "On branch topic/x\nnothing to commit (use -u)\n"
     at = lambda command, text, user=None: value(spark, text, lambda t: profiles.apply(F.lit(command), t, user))
     assert at("git status", clean) == "[git status: clean]"
-    build = at("cargo build", "Compiling foo v1.0.0\nCompiling bar v2.0.0\nFinished dev [x]\nwarning: unused")
-    assert build == "warning: unused"
+    build = at("cargo build --release", "Updating index\n  Compiling serde\nwarning: field is never read\nFinished in 3 s\nerror[E0308]: types")
+    assert build == "warning: field is never read\nerror[E0308]: types"
     assert value(spark, "treefoo", profiles.resolve) == "tree" and value(spark, "make", profiles.resolve) is None
     file, store = tmp_path / "p.toml", profiles.TrustStore(str(tmp_path / "trust.json"))
     file.write_text('[filter.mine]\ncommand = "make"\nstages = [{name = "regex_drop", pattern = "noise"}]\n')
@@ -76,8 +80,9 @@ def test_scores(spark):
     cases = {" ": 0.0, "DEF x": 1.0, "# x": 0.05, "50% |": 0.05, "x" * 60: 0.3 + 0.6, " " + "x" * 50: 0.3 + 0.5 + 0.1, "class\té": 1.0, "import\x1cx": 1.0, "x" * 200: 1.0}
     for line, want in cases.items():
         assert value(spark, line, density.score) == want, line
-    log = "\n".join([f"Line {i}" for i in range(20)] + ["ERROR: final"])
-    assert value(spark, log, lambda t: density.collapse(t, 0.3)).split("\n")[-1] == "ERROR: final"
+    log = "\n".join([f"step {i} of 31" for i in range(31)] + ["build FAILED at step 31"])
+    short = value(spark, log, lambda t: density.collapse(t, 0.3)).split("\n")
+    assert short[-1] == "build FAILED at step 31" and len(short) < 20 and any(x.endswith(" lines dropped] ...") for x in short)
     assert value(spark, "\n".join("abcde"), density.collapse) == "\n".join("abcde")
     assert value(spark, "\n".join(["x"] * 11), density.drop_indices) == [5, 6, 7, 8, 9, 10]
     both = spark.createDataFrame([(1, log), (2, "a\nb"), (3, None)], "id long, text string")
@@ -86,6 +91,41 @@ def test_scores(spark):
     assert far == near
 
 
+def test_long_documents_cost_in_proportion_to_their_lines(spark):
+    seconds = {}
+    stages = [S("smart_truncate", max_lines=60, priority_lines="FAILED"), S("smart_truncate", max_lines=50, priority_lines="PASSED"), S("head_tail", max_lines=40)]
+    for n in (1_000, 50_000, 1_000, 5_000, 50_000):
+        text = "\n".join(f"suite_{i % 97}::case_{i} " + ("FAILED" if i % 1000 == 7 else "PASSED") + f" in {i * 7 % 1000} ms" for i in range(n))
+        df = spark.createDataFrame([(text,)], "t string").select("t", density.drop_indices(F.col("t")).alias("d"))
+        began = time.time()
+        c = codec.compress(df, "t", "d", "c")
+        back = codec.expand(c, "c", codec.store(c), "e")
+        row = back.select((F.col("e") == text).alias("same"), lines.run(F.col("t"), stages).alias("cut"), density.collapse(F.col("t")).alias("x"), profiles.apply(F.lit("pytest -q"), F.col("t")).alias("p")).first()
+        seconds[n] = time.time() - began
+        assert row["same"] and len(row["cut"].split("\n")) == 41 and len(row["p"].split("\n")) == n // 1_000
+    assert seconds[50_000] < 20 * seconds[5_000] + 5 and seconds[50_000] < 30
+
+
+def test_plans_grow_by_a_constant_a_stage(spark):
+    df = spark.createDataFrame([("a",)], "t string")
+    plan = lambda n: len(df.select(lines.run(F.col("t"), [S("smart_truncate", priority_lines="x")] * n))._jdf.queryExecution().optimizedPlan().toString())
+    one, four, seven = plan(1), plan(4), plan(7)
+    assert seven - four < 1.3 * (four - one)
+
+
+def test_stored_tokens_are_what_zlib_makes_of_the_dropped_lines(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text", density.drop_indices(F.col("text")).alias("drops"))
+    want = {}
+    for r in docs.collect():
+        own = r["text"].split("\n")
+        raw = json.dumps({"indices": r["drops"], "lines": [own[i] for i in r["drops"]]}, separators=(",", ":"), ensure_ascii=False).encode()
+        token = base64.urlsafe_b64encode(zlib.compress(raw, 9)).decode().rstrip("=")
+        if r["drops"] and len(token) > 200:
+            want[hashlib.sha256(token.encode()).hexdigest()] = token
+    refs = catalogue.queries()["external_store_refs"](spark, "/root/testdata/sf0.001")
+    assert want and {r["ref_id"]: r["token"] for r in refs.collect()} == want
+
+
 def test_codec(spark):
     cases = [("\n".join(f"line {i} é" * (i % 3) for i in range(n)), d) for n in (1, 4, 5, 9) for d in ([], [0], [1, 3], [0, 2, 4], [9, 0, 0])]
     cases += [("\n".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(20)), list(range(2, 8))), ("[...2 lines compressed: irc:abc...]\nb", [1]), (None, [1]), ("a", None)]

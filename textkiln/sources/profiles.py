@@ -16,55 +16,42 @@ from textkiln.operators.lines import Stage, run
 
 log = logging.getLogger(__name__)
 
-# The built-in profiles, in the order in which commands are matched.
-_PYTEST = {
-    "drop": r"^(platform|rootdir:|collected |plugins:)",
-    "keep": r"(FAILED|ERROR|Exception|Traceback|==.*passed.*==)",
-    "cut": (50, 0.2, r"(FAILED|ERROR)"),
-    "empty": "[pytest: all passed]",
-}
-_BUILT_IN = {
-    "git status": {
-        "drop": r"^(On branch|Your branch is up to date|nothing to commit|no changes added to commit|Changes not staged for commit:)",
-        "keep": r"(modified|deleted|new file|renamed|Untracked files|error|fatal)",
-        "cut": (20, 0.5, None),
-        "empty": "[git status: clean]",
-    },
-    "git log": {"cut": (50, 1.0, None)},
-    "git diff": {"drop": r"^index ", "cut": (100, 0.5, r"^@@")},
-    "cargo build": {
-        "drop": r"^(Compiling|Finished|Running|Updating|Downloading|Documenting|Blocking|Unblocking)",
-        "keep": r"(error|warning|FAILED|test result|panicked)",
-        "cut": (30, 0.3, None),
-    },
-    "cargo test": {
-        "drop": r"^(Compiling|Finished|Running|Updating|Downloading|Documenting)",
-        "keep": r"(test result:|FAILED|error|warning|panicked)",
-        "cut": (50, 0.3, r"(test result:|FAILED)"),
-        "empty": "[cargo test: all passed]",
-    },
+def _profile(drop: str | None, keep: str | None, cut: tuple[int, float, str | None], empty: str | None = None) -> list[Stage]:
+    most, ratio, first = cut
+    stages = [Stage("strip_ansi"), drop and Stage("regex_drop", pattern=drop), keep and Stage("regex_keep", pattern=keep)]
+    stages += [Stage("smart_truncate", max_lines=most, head_ratio=ratio, priority_lines=first), empty and Stage("on_empty", fallback=empty)]
+    return [s for s in stages if s]
+
+
+# The built-in profiles, in the order in which commands are matched: what is dropped, what is kept, how much
+# of it, and what an empty output says.
+_PYTEST = _profile(r"^(platform|rootdir:|collected |plugins:)", r"(FAILED|ERROR|Exception|Traceback|==.*passed.*==)", (50, 0.2, r"(FAILED|ERROR)"), "[pytest: all passed]")
+BUILT_IN: dict[str, list[Stage]] = {
+    "git status": _profile(
+        r"^(On branch|Your branch is up to date|nothing to commit|no changes added to commit|Changes not staged for commit:)",
+        r"(modified|deleted|new file|renamed|Untracked files|error|fatal)",
+        (20, 0.5, None),
+        "[git status: clean]",
+    ),
+    "git log": _profile(None, None, (50, 1.0, None)),
+    "git diff": _profile(r"^index ", None, (100, 0.5, r"^@@")),
+    "cargo build": _profile(
+        r"^(Compiling|Finished|Running|Updating|Downloading|Documenting|Blocking|Unblocking)",
+        r"(error|warning|FAILED|test result|panicked)",
+        (30, 0.3, None),
+    ),
+    "cargo test": _profile(
+        r"^(Compiling|Finished|Running|Updating|Downloading|Documenting)",
+        r"(test result:|FAILED|error|warning|panicked)",
+        (50, 0.3, r"(test result:|FAILED)"),
+        "[cargo test: all passed]",
+    ),
     "pytest": _PYTEST,
     "python -m pytest": _PYTEST,
-    "npm test": {
-        "drop": r"^(> |PASS |Test Suites:|Tests:|Snapshots:|Time:)",
-        "keep": r"(FAIL|error|failed|Error:)",
-        "cut": (50, 0.2, r"FAIL"),
-        "empty": "[npm test: all passed]",
-    },
-    "ls -la": {"cut": (100, 0.5, None)},
-    "tree": {"cut": (100, 0.5, None)},
+    "npm test": _profile(r"^(> |PASS |Test Suites:|Tests:|Snapshots:|Time:)", r"(FAIL|error|failed|Error:)", (50, 0.2, r"FAIL"), "[npm test: all passed]"),
+    "ls -la": _profile(None, None, (100, 0.5, None)),
+    "tree": _profile(None, None, (100, 0.5, None)),
 }
-
-
-def _stages(d: dict) -> list[Stage]:
-    out = [Stage("strip_ansi")]
-    out += [Stage(f"regex_{k}", pattern=d[k]) for k in ("drop", "keep") if k in d]
-    m, ratio, first = d["cut"]
-    out.append(Stage("smart_truncate", max_lines=m, head_ratio=ratio, priority_lines=first))
-    return out + ([Stage("on_empty", fallback=d["empty"])] if "empty" in d else [])
-
-
-BUILT_IN: dict[str, list[Stage]] = {k: _stages(d) for k, d in _BUILT_IN.items()}
 DEFAULT = [Stage("strip_ansi")]
 
 
