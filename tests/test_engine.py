@@ -11,7 +11,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from textkiln.functions.text import fingerprint, is_blank, java_pattern, java_replacement
+from textkiln.functions.text import fingerprint, is_blank, java_pattern, java_replacement, stripped
 from textkiln.operators import codec, density, facts, ledger, lines, savings
 from textkiln.plans import catalogue, runs, surface
 from textkiln.sources import captures, profiles, store
@@ -91,6 +91,17 @@ def test_scores(spark):
     assert far == near
 
 
+def test_hints_lose_no_line(spark):
+    rng = random.Random(3)
+    words = ["ERROR", "error[", "Fa\u0131led", "pan\u0130c", "cla\u017f\u017f x", "\u212aeep", "def f", "from\u00a0x", "import\x1cy", "- a", " * b", "*c", "Compiling q", "Finished dev", "Running 3 test", "Downloading", "  Unblocking", "50%  |", "\u2593", "= = =", "x", " ", "\u3000", "Exception"]
+    texts = ["".join(rng.choice([*words, " ", "\u00e9"]) for _ in range(rng.randint(0, 4))) for _ in range(1_500)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    both = df.select("t", (density._kept_by_pattern(t) == t.rlike(density._KEEP)).alias("k"), (density._noise(t) == t.rlike(density._DROP)).alias("d"), stripped(t).alias("s"))
+    for r in both.collect():
+        assert r["k"] and r["d"] and r["s"] == r["t"].strip(), ascii(r["t"])
+
+
 def test_long_documents_cost_in_proportion_to_their_lines(spark):
     seconds = {}
     stages = [S("smart_truncate", max_lines=60, priority_lines="FAILED"), S("smart_truncate", max_lines=50, priority_lines="PASSED"), S("head_tail", max_lines=40)]

@@ -46,7 +46,9 @@ def java_replacement(replacement: str) -> str:
 
 
 def stripped(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?dU)^{BLANK}+|{BLANK}+$", "")
+    """c without white space at its ends; most texts have none there, which their first and last character tell."""
+    ends = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1))
+    return F.when(ends.rlike(f"(?dU){BLANK}"), F.regexp_replace(c, f"(?dU)^{BLANK}+|{BLANK}+$", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:

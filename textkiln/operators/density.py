@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,13 +23,30 @@ def _any(patterns: list[str], flags: str) -> str:
 
 
 _KEEP, _DROP = _any(KEEP, "?idU"), _any(DROP, "?dU")
+# What a line must contain, in lower case or as it is, to match at all; a search for plain words is far cheaper than the
+# patterns. The last row are the characters beyond ASCII that equal a letter of the words when case is ignored.
+_KEEP_HINTS = ("error", "failed", "panic", "exception", "def", "class", "import", "from")
+_KEEP_ANY_CASE = ("-", "*", "\u017f", "\u212a", "\u0130", "\u0131")
+_DROP_HINTS = ("Compiling", "Finished", "Running", "Downloading", "locking", "%", "#", "\u2593", "\u2591", "=")
+
+
+def _contains(c: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in words))
+
+
+def _kept_by_pattern(line: Column) -> Column:
+    return (_contains(F.lower(line), _KEEP_HINTS) | _contains(line, _KEEP_ANY_CASE)) & line.rlike(_KEEP)
+
+
+def _noise(line: Column) -> Column:
+    return _contains(line, _DROP_HINTS) & line.rlike(_DROP)
 
 
 def score(line: Column) -> Column:
     s = stripped(line)
     length = F.least(F.length(s) / F.lit(PER_CHARS), F.lit(MOST_FOR_LENGTH))
     indent = F.when(line.rlike(f"(?dU)^{BLANK}"), F.lit(FOR_INDENT)).otherwise(F.lit(0.0))
-    return F.when(s == "", F.lit(0.0)).when(line.rlike(_KEEP), F.lit(1.0)).when(line.rlike(_DROP), F.lit(NOISE)).otherwise(F.lit(BASE) + length + indent)
+    return F.when(s == "", F.lit(0.0)).when(_kept_by_pattern(line), F.lit(1.0)).when(_noise(line), F.lit(NOISE)).otherwise(F.lit(BASE) + length + indent)
 
 
 def _kept_count(n: Column, ratio: float) -> Column:

@@ -74,7 +74,7 @@ def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: s
     a use after `most` or more other fingerprints: the least recently used entries make room. Without text, the column
     fingerprint must be there. entries (as entries_after makes them) are what earlier calls have left: turns go on from
     there. Null texts share a fingerprint, null; a run without a time starts anew, and so does the next one like it.
-    Two shuffles: by session for turns, by session and fingerprint.
+    Two shuffles: by session for turns, by session and fingerprint. Sessions are counted at once, to see if any is long.
     """
     fields, out = runs.columns, runs
     if text is not None:
@@ -84,6 +84,7 @@ def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: s
     if entries is not None:
         left = entries.select(F.col("session_id").alias(session), "fingerprint", F.col("last_use").cast("double").alias("_seconds"), F.col("first_turn").alias("_known"), F.lit(0).alias("_old"), F.col("turn").alias("_base"))
         out = out.unionByName(left, allowMissingColumns=True)
+    per_session = out.groupBy(session).agg(F.count(F.lit(1)).alias("_n"))
     by = Window.partitionBy(session)
     nth = F.row_number().over(by.orderBy("_old", *[F.when(F.col("_old") == 0, F.col("_seconds"))], *(order or [ts])))
     # Turns go on from the last one that entries tell of; entries stand before all runs, in the order of their last use.
@@ -95,9 +96,11 @@ def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: s
     gap = F.col("_seconds") - F.lag("_seconds").over(same)
     few = out.filter(F.col("_n") <= most).withColumn("_fresh", F.coalesce((gap >= ttl).cast("int"), F.lit(1)))
     few = few.withColumn("_epoch", F.sum("_fresh").over(same)).withColumn("first_turn", F.min(F.coalesce("_known", "turn")).over(Window.partitionBy(session, "fingerprint", "_epoch")))
-    many = out.filter(F.col("_n") > most).repartition(session).sortWithinPartitions(session, "_nth")
-    many = many.mapInArrow(_one_by_one(session, ttl, most), T.StructType([*many.schema.fields, T.StructField("first_turn", T.IntegerType())]))
-    out = few.drop("_fresh", "_epoch").unionByName(many).filter("_old = 1")
+    answered = few.drop("_fresh", "_epoch")
+    if not per_session.filter(F.col("_n") > most).isEmpty():
+        many = out.filter(F.col("_n") > most).repartition(session).sortWithinPartitions(session, "_nth")
+        answered = answered.unionByName(many.mapInArrow(_one_by_one(session, ttl, most), T.StructType([*many.schema.fields, T.StructField("first_turn", T.IntegerType())])))
+    out = answered.filter("_old = 1")
     keep = dict.fromkeys([*fields, "turn", "fingerprint", "first_turn"])
     return out.select(*keep, (F.col("turn") > F.col("first_turn")).alias("deduped"))
 
