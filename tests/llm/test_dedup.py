@@ -38,7 +38,9 @@ def test_repeated_strings(spark, tmp_path, monkeypatch):
     sf = saved(spark, tmp_path, docs)
     got = queries.op6_substring_dedup(spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert sorted(map(tuple, got.collect())) == want
-    for most in (9, 2):
+    for most, bits in ((9, None), (2, None), (32_768, 64), (3, 64)):
+        if bits:  # bitmaps so full that they let everything through
+            monkeypatch.setattr(substring_dedup, "bits_for", lambda n: 64)
         out = substring_dedup.remove_repeats(table(spark, sf, "documents").withColumn("kept", F.lit(1)), most)
         got = out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
         assert sorted(map(tuple, got.collect())) == want

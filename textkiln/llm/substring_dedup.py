@@ -4,9 +4,9 @@ Two equal strings of `length` bytes hold the same least hash of their GRAM-byte
 place. So it is enough to look at each anchor with its context, as far as such a string can reach around it:
 1. Of equal texts only the first is looked at; the others are covered wholly.
 2. Anchors are counted; a bitmap lets through those met more than once.
-3. Of occurrences with equal anchor and context the first is the leader, the smallest position of a run of equal
+3. Where all contexts of an anchor are equal, the first one is the leader, the smallest position of a run of equal
    suffixes; the others have it as an earlier match and are covered.
-4. Leaders of one anchor meet in a task. It puts the suffixes of their contexts in suffix order, marks which neighbours
+4. Different contexts of one anchor meet in a task. It puts the suffixes of their contexts in suffix order, marks which neighbours
    share `length` bytes, finds each suffix's previous and next smaller position in that order, and from them its
    longest previous factor. Where that reaches `length`, the string is covered.
 An anchor with more contexts than a task takes is halved: the strings that begin in the nearer half before it and those
@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +97,10 @@ def _counts(copied):
     return run
 
 
-def _occurrences(copied, met, mixed=None, firsts: bool = True):
-    """The anchors in the bitmap `met`: hash a, hash c of the context, its place. With firsts, equal contexts of a
-    slice give one row, the first, and their number. With mixed, only contexts in that bitmap, and their bytes."""
+def _occurrences(copied, met, mixed=None, ctx: bool = False):
+    """The anchors in the bitmap `met`: hash a, hash c of the context, its place. Without mixed, equal contexts of a slice
+    give one row, the first, and their number. With it, only anchors that aren't in that bitmap, or, with ctx, those that
+    are, and their contexts' bytes, which only the first of equal ones in a slice has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,6 +108,8 @@ def _occurrences(copied, met, mixed=None, firsts: bool = True):
                 b, offsets = raw_bytes(part.column("text"))
                 pos, a, doc = anchors(b, offsets)
                 may = in_bitmap(met.value, a)
+                if mixed is not None:
+                    may &= in_bitmap(mixed.value, a) == ctx
                 pos, a, doc = pos[may], a[may], doc[may]
                 start, end = offsets[doc], offsets[doc + 1]
                 lo, hi = np.maximum(pos - (LENGTH - GRAM), start), np.minimum(pos + LENGTH, end)
@@ -114,21 +118,16 @@ def _occurrences(copied, met, mixed=None, firsts: bool = True):
                     c = mix64(c + h[np.clip(pos + shift, lo, hi - GRAM)] + np.uint64(k)) if len(c) else c
                 ids, h1 = part.column("doc").to_numpy(zero_copy_only=False)[doc], part.column("h1").to_numpy(zero_copy_only=False)[doc]
                 cols = {"a": a.view(np.int64), "c": c.view(np.int64), "doc": ids, "h1": h1, "lo": lo - start, "len": (hi - lo).astype(np.int32), "at": (pos - lo).astype(np.int32)}
-                if mixed is not None:
-                    may = in_bitmap(mixed.value, c)
-                    cols, lo, hi = {k: v[may] for k, v in cols.items()}, lo[may], hi[may]
-                if firsts:
-                    order = np.lexsort((cols["lo"], cols["h1"], cols["doc"], cols["c"], cols["a"]))
-                    new = np.ones(len(order), bool)
-                    new[1:] = (np.diff(cols["a"][order]) != 0) | (np.diff(cols["c"][order]) != 0)
-                    one = order[new]
-                    cols, lo, hi = {k: v[one] for k, v in cols.items()}, lo[one], hi[one]
-                    if mixed is None:
-                        cols["n"] = np.diff(np.append(np.flatnonzero(new), len(order)))
+                order = np.lexsort((cols["lo"], h1, ids, cols["c"], cols["a"])) if mixed is None or ctx else np.zeros(0, np.int64)
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(cols["a"][order]) != 0) | (np.diff(cols["c"][order]) != 0)
+                if mixed is None:
+                    cols = {k: v[order[new]] for k, v in cols.items()} | {"n": np.diff(np.append(np.flatnonzero(new), len(order)))}
                 out = {k: pa.array(v) for k, v in cols.items()}
-                if mixed is not None:
-                    raw = b.tobytes()
-                    out["ctx"] = pa.array([raw[x:y] for x, y in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                if ctx:
+                    raw, first = b.tobytes(), np.zeros(len(order), bool)
+                    first[order[new]] = True
+                    out["ctx"] = pa.array([raw[x:y] if f else None for x, y, f in zip(lo.tolist(), hi.tolist(), first.tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return run
@@ -215,18 +214,22 @@ def covered(group: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarra
 
 
 def _solved(t: pa.Table) -> pa.RecordBatch:
+    equal = t.filter(pc.is_null(t.column("ctx")))  # an earlier one of their slice is equal
+    t = t.filter(pc.is_valid(t.column("ctx")))
     doc, h1, lo, n, at = (t.column(x).to_numpy().astype(np.int64) for x in ("doc", "h1", "lo", "len", "at"))
     key = t.column("a").to_numpy()
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
+    group = np.cumsum(np.concatenate([np.zeros(min(1, len(key)), np.int64), key[1:] != key[:-1]])).astype(np.int64)
     by = np.lexsort((lo + at, h1, doc))
     place = np.empty(len(by), np.int64)
-    place[by] = np.cumsum(np.concatenate([[0], (np.diff((lo + at)[by]) != 0) | (np.diff(h1[by]) != 0) | (np.diff(doc[by]) != 0)]))
-    hit = covered(group, _frame(t.column("ctx").to_pylist(), at, n), at, n - at, place)
+    place[by] = np.cumsum(np.concatenate([np.zeros(min(1, len(by))), (np.diff((lo + at)[by]) != 0) | (np.diff(h1[by]) != 0) | (np.diff(doc[by]) != 0)]))
+    hit = covered(group, _frame(t.column("ctx").to_pylist(), at, n), at, n - at, place) if len(key) else np.zeros((0, SPAN + 1), bool)
     edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    cols = (doc[row], h1[row], (lo + at)[row] - (last - 1), (lo + at)[row] - first + LENGTH)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], [x.split()[0] for x in RANGES.split(", ")])
+    found = (doc[row], h1[row], (lo + at)[row] - (last - 1), (lo + at)[row] - first + LENGTH)
+    start = equal.column("lo").to_numpy()
+    more = (equal.column("doc").to_numpy(), equal.column("h1").to_numpy(), start, start + equal.column("len").to_numpy())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(found, more, strict=True)], [x.split()[0] for x in RANGES.split(", ")])
 
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +281,7 @@ WINDOWS = "a long, low int, high int, c1 long, c2 long, doc long, h1 long, lo lo
 
 
 def _split(contexts: DataFrame, hot: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Contexts of hot anchors (a, contexts: how many different ones), as (contexts that a task can take, covered ranges).
+    """Contexts of hot anchors (a, contexts: how many different ones, one at least), as (contexts that a task can take, covered ranges).
 
     Where only the rows were too many, leaving the first one of equal contexts is enough; else ranges are halved.
     """
@@ -352,21 +355,24 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     met = bitmap(counts, "a", bits_for(counts.count()))
     discard(counts)
     found = over(lambda skip: _occurrences(skip, met), f"{PLACE}, n long").groupBy("a", "c")
-    leaders = found.agg(F.min(F.struct("doc", "h1", "lo")).alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
-    leaders = materialise(leaders.select("a", "c", "s.*", "n", "rows"), "repeat-leaders")
+    leaders = found.agg(F.min(F.struct("doc", "h1", "lo")).alias("s"), F.sum("n").alias("n"))
+    leaders = materialise(leaders.select("a", "c", "s.*", "n"), "repeat-leaders")
     led = leaders.filter("n > 1").select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
-    again = over(lambda skip: _occurrences(skip, met, firsts=False), PLACE).join(led, ["a", "c"])
+    # Anchors with different contexts, and what else their bitmap lets through, are compared by their contexts.
+    several = leaders.groupBy("a").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("rows"))
+    several = materialise(several.filter((F.col("contexts") > 1) | (F.col("rows") > most)).select("a", "contexts", "rows"), "mixed-anchors")
+    mixed = several.filter("contexts > 1")
+    mixed = bitmap(mixed, "a", bits_for(4 * mixed.count()))
+    again = over(lambda skip: _occurrences(skip, met, mixed), PLACE).join(led, ["a", "c"])
     again = again.filter("not (doc = d0 and h1 = h0 and lo = l0)").select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end"))
-    # Contexts of anchors that have several. What else their bitmap lets through does no harm: equal strings are equal.
-    several = leaders.groupBy("a").agg(F.count(F.lit(1)).alias("contexts"), F.sum("rows").alias("rows")).filter("contexts > 1")
-    several = materialise(several.select("a", "contexts", "rows"), "mixed-anchors")
-    mixed = bitmap(leaders.select("a", "c").join(several, "a"), "c", bits_for(several.agg(F.coalesce(F.sum("contexts"), F.lit(0))).first()[0]))
-    contexts = over(lambda skip: _occurrences(skip, met, mixed), f"{PLACE}, ctx binary")
+    contexts = over(lambda skip: _occurrences(skip, met, mixed, True), f"{PLACE}, ctx binary")
     hot, ranges = materialise(several.filter(F.col("rows") > most).select("a", "contexts"), "hot-anchors"), again.unionByName(whole)
     local = contexts.drop("c")
     if not hot.isEmpty():
-        local = contexts.join(hot, "a", "left_anti").drop("c")
-        fit, done = _split(contexts.join(hot, "a", "left_semi"), hot, most)
+        local, own = contexts.join(hot, "a", "left_anti").drop("c"), contexts.join(hot, "a", "left_semi")
+        fit, done = _split(own.filter("ctx is not null"), hot, most)
+        later = own.select("doc", "h1", "lo", "len", "a", "c").join(leaders.select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0")).join(hot, "a", "left_semi"), ["a", "c"])
+        done.append(later.filter("not (doc = d0 and h1 = h0 and lo = l0)").select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end")))
         for x in done:
             ranges = ranges.unionByName(x)
         for x in fit:
