@@ -371,7 +371,8 @@ def remove_repeats(docs: DataFrame, most: int = MOST) -> DataFrame:
     if not hot.isEmpty():
         local, own = contexts.join(hot, "a", "left_anti").drop("c"), materialise(contexts.join(hot, "a", "left_semi"), "hot-occurrences")
         fit, done = _split(own.filter("ctx is not null"), hot, most)
-        later = own.select("doc", "h1", "lo", "len", "a", "c").join(leaders.select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0")).join(hot, "a", "left_semi"), ["a", "c"])
+        firsts = leaders.join(hot, "a", "left_semi").select("a", "c", F.col("doc").alias("d0"), F.col("h1").alias("h0"), F.col("lo").alias("l0"))
+        later = own.select("doc", "h1", "lo", "len", "a", "c").join(materialise(firsts, "hot-firsts"), ["a", "c"])
         done.append(later.filter("not (doc = d0 and h1 = h0 and lo = l0)").select("doc", "h1", F.col("lo").alias("start"), (F.col("lo") + F.col("len")).alias("end")))
         for x in done:
             ranges = ranges.unionByName(x)
