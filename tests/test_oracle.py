@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from textkiln.plans import catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -35,3 +36,21 @@ def test_query(spark, name):
     want = [tuple(plain(dict(zip(cols, r, strict=True))[c]) for c in sorted(cols)) for r in out.fetchall()]
     assert sorted(cols) == sorted(df.columns)
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", ["dedup_ledger"])
+def test_repeats_far_apart(spark, tmp_path, name):
+    """Repeats with over 10,000 other texts, or over 604,800 seconds, between them. The first of a kind isn't cut by
+    its command, make all; the repeat's command, git log, cuts."""
+    long = ["\n".join(f"{s} {i}" for i in range(300)) for s in ("a", "b")]
+    n = len(catalogue.COMMANDS)
+    rows = [(n - 1, long[0], "en"), *((i, f"text {i}", "en") for i in range(n, 10_100)), (n * 2_000 + 1, long[0], "en")]
+    rows += [(n * 2_001 - 1, long[1], "fr"), (n * 100_000 + 1, long[1], "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES[name](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    out = con.execute(SQL[name])
+    cols = [c[0] for c in out.description]
+    want = out.fetchall()
+    assert sorted(map(repr, map(tuple, df.select(cols).collect()))) == sorted(map(repr, want))

@@ -32,13 +32,13 @@ ENTRIES = "session_id string, fingerprint string, first_turn int, last_use times
 class Entries:
     """The live entries of one session: first turn and last use of each fingerprint, the least recently used first."""
 
-    def __init__(self, ttl: int, most: int) -> None:
+    def __init__(self, ttl: int | None, most: int) -> None:
         self.ttl, self.most, self.known = ttl, most, {}
 
     def use(self, fp, turn: int, now: float | None) -> int:
         """The turn of the first use; a use without a time neither finds an entry nor is found."""
         own = self.known.pop(fp, None)
-        if own is not None and (now is None or own[1] is None or now - own[1] >= self.ttl):
+        if own is not None and self.ttl is not None and (now is None or own[1] is None or now - own[1] >= self.ttl):
             own = None
         first = turn if own is None else own[0]
         self.known[fp] = (first, now)  # a dict keeps the order of last use
@@ -47,7 +47,7 @@ class Entries:
         return first
 
 
-def _one_by_one(session: str, ttl: int, most: int):
+def _one_by_one(session: str, ttl: int | None, most: int):
     """Rows come sorted by session and turn: adds first_turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +67,16 @@ def _one_by_one(session: str, ttl: int, most: int):
     return run
 
 
-def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: str | None = "raw_output", order: list[str] | None = None, ttl: int = TTL_SECONDS, most: int = MOST_ENTRIES, entries: DataFrame | None = None) -> DataFrame:
+def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: str | None = "raw_output", order: list[str] | None = None, ttl: int | None = TTL_SECONDS, most: int | None = MOST_ENTRIES, entries: DataFrame | None = None) -> DataFrame:
     """Adds turn, fingerprint, first_turn and deduped.
 
     A use refreshes the entry, so it lives while gaps are under ttl seconds; a gap of ttl or more starts anew, and so does
-    a use after `most` or more other fingerprints: the least recently used entries make room. Without text, the column
-    fingerprint must be there. entries (as entries_after makes them) are what earlier calls have left: turns go on from
-    there. Null texts share a fingerprint, null; a run without a time starts anew, and so does the next one like it.
-    Two shuffles: by session for turns, by session and fingerprint. Sessions are counted at once, to see if any is long.
+    a use after `most` or more other fingerprints: the least recently used entries make room. With ttl None no entry
+    expires and times don't matter; with most None every entry stays, and windows answer for all sessions. Without text,
+    the column fingerprint must be there. entries (as entries_after makes them) are what earlier calls have left: turns go
+    on from there. Null texts share a fingerprint, null; a run without a time starts anew, and so does the next one like it.
+    Two shuffles: by session for turns, by session and fingerprint. Unless most is None, sessions are counted at once, to
+    see if any is long.
     """
     fields, out = runs.columns, runs
     if text is not None:
@@ -88,16 +90,19 @@ def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: s
     by = Window.partitionBy(session)
     nth = F.row_number().over(by.orderBy("_old", *[F.when(F.col("_old") == 0, F.col("_seconds"))], *(order or [ts])))
     # Turns go on from the last one that entries tell of; entries stand before all runs, in the order of their last use.
-    out = out.withColumns({"_nth": nth, "_n": F.count(F.lit(1)).over(by)})
+    out = out.withColumn("_nth", nth) if most is None else out.withColumns({"_nth": nth, "_n": F.count(F.lit(1)).over(by)})
     if entries is not None:
         out = out.withColumn("_base", F.max("_base").over(by) - F.sum(F.lit(1) - F.col("_old")).over(by))
     out = out.withColumn("turn", (F.col("_nth") + F.col("_base")).cast("int"))
     same = Window.partitionBy(session, "fingerprint").orderBy("_nth")
     gap = F.col("_seconds") - F.lag("_seconds").over(same)
-    few = out.filter(F.col("_n") <= most).withColumn("_fresh", F.coalesce((gap >= ttl).cast("int"), F.lit(1)))
-    few = few.withColumn("_epoch", F.sum("_fresh").over(same)).withColumn("first_turn", F.min(F.coalesce("_known", "turn")).over(Window.partitionBy(session, "fingerprint", "_epoch")))
-    answered = few.drop("_fresh", "_epoch")
-    if not per_session.filter(F.col("_n") > most).isEmpty():
+    few = out if most is None else out.filter(F.col("_n") <= most)
+    alike = [session, "fingerprint"]
+    if ttl is not None:
+        few = few.withColumn("_fresh", F.coalesce((gap >= ttl).cast("int"), F.lit(1))).withColumn("_epoch", F.sum("_fresh").over(same))
+        alike.append("_epoch")
+    answered = few.withColumn("first_turn", F.min(F.coalesce("_known", "turn")).over(Window.partitionBy(*alike))).drop("_fresh", "_epoch")
+    if most is not None and not per_session.filter(F.col("_n") > most).isEmpty():
         many = out.filter(F.col("_n") > most).repartition(session).sortWithinPartitions(session, "_nth")
         answered = answered.unionByName(many.mapInArrow(_one_by_one(session, ttl, most), T.StructType([*many.schema.fields, T.StructField("first_turn", T.IntegerType())])))
     out = answered.filter("_old = 1")
@@ -105,11 +110,11 @@ def ledger(runs: DataFrame, session: str = "session_id", ts: str = "ts", text: s
     return out.select(*keep, (F.col("turn") > F.col("first_turn")).alias("deduped"))
 
 
-def entries_after(ledgered: DataFrame, session: str = "session_id", ts: str = "ts", entries: DataFrame | None = None, ttl: int = TTL_SECONDS, most: int = MOST_ENTRIES) -> DataFrame:
+def entries_after(ledgered: DataFrame, session: str = "session_id", ts: str = "ts", entries: DataFrame | None = None, ttl: int | None = TTL_SECONDS, most: int | None = MOST_ENTRIES) -> DataFrame:
     """ENTRIES: what sessions keep after the runs of ledger (and, where these are from an earlier call, its entries).
 
     Of each fingerprint the last use counts. Entries that had expired at the session's last run go, and of more than
-    `most` the least recently used.
+    `most` the least recently used; ttl and most None: none go.
     """
     used = ledgered.select(F.col(session).alias("session_id"), "fingerprint", "first_turn", F.col(ts).cast("timestamp").alias("last_use"), "turn")
     if entries is not None:
@@ -119,8 +124,10 @@ def entries_after(ledgered: DataFrame, session: str = "session_id", ts: str = "t
     by = Window.partitionBy("session_id")
     last = used.groupBy("session_id", "fingerprint").agg(F.max(F.struct(F.coalesce("_old", F.lit(1)).alias("_old"), "turn", "last_use", "first_turn")).alias("s"))
     out = last.select("session_id", "fingerprint", "s.*").withColumns({"_now": F.max("last_use").over(by), "_turn": F.max("turn").over(by)})
-    out = out.filter(F.col("_now").cast("double") - F.col("last_use").cast("double") < ttl)
-    out = out.withColumn("_rank", F.row_number().over(by.orderBy(F.desc("_old"), F.desc(F.when(F.col("_old") == 1, F.col("turn"))), F.desc("last_use")))).filter(F.col("_rank") <= most)
+    if ttl is not None:
+        out = out.filter(F.col("_now").cast("double") - F.col("last_use").cast("double") < ttl)
+    if most is not None:
+        out = out.withColumn("_rank", F.row_number().over(by.orderBy(F.desc("_old"), F.desc(F.when(F.col("_old") == 1, F.col("turn"))), F.desc("last_use")))).filter(F.col("_rank") <= most)
     return out.select("session_id", "fingerprint", "first_turn", "last_use", F.col("_turn").alias("turn"))
 
 
