@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textkiln.functions.text import token_count
 from textkiln.operators import codec, density, facts, lines, savings
-from textkiln.operators.ledger import ledger, marker
+from textkiln.operators.ledger import MOST_ENTRIES, TTL_SECONDS, ledger, marker
 from textkiln.sources import profiles
 
 
@@ -18,14 +18,14 @@ def injected(runs: DataFrame, known: DataFrame) -> DataFrame:
     return runs.join(n, ["current_file", "ts"], "left").withColumn("memories_injected", F.coalesce("memories_injected", F.lit(0).cast("long")))
 
 
-def respond(runs: DataFrame, user: dict | None = None, order: list[str] | None = None, entries: DataFrame | None = None) -> DataFrame:
+def respond(runs: DataFrame, user: dict | None = None, order: list[str] | None = None, entries: DataFrame | None = None, ttl: int | None = TTL_SECONDS, most: int | None = MOST_ENTRIES) -> DataFrame:
     """runs (session_id, ts, command, raw_output) with output, deduped, raw_tokens, output_tokens, tokens_saved,
     compression_ratio, truncated, full_output_path, filtered, drops and token.
 
-    Repeats answer with a marker and skip the line program; entries are what the ledgers of earlier calls have left. The
-    ledger's windows shuffle; the rest is narrow.
+    Repeats answer with a marker and skip the line program; entries are what the ledgers of earlier calls have left; ttl
+    and most are the ledger's. The ledger's windows shuffle; the rest is narrow.
     """
-    df = ledger(runs, order=order, entries=entries)
+    df = ledger(runs, order=order, ttl=ttl, most=most, entries=entries)
     raw, deduped = F.col("raw_output"), F.col("deduped")
     df = df.withColumn("filtered", F.when(~deduped, profiles.apply(F.col("command"), raw, user)))
     df = df.withColumn("drops", F.when(~deduped, density.drop_indices(F.col("filtered"))))
