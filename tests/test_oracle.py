@@ -38,7 +38,7 @@ def test_query(spark, name):
     assert sorted(map(repr, got)) == sorted(map(repr, want))
 
 
-@pytest.mark.parametrize("name", ["dedup_ledger", "run_log", "run_pipeline"])
+@pytest.mark.parametrize("name", ["dedup_ledger", "run_log", "run_pipeline", "tee_outputs"])
 def test_repeats_far_apart(spark, tmp_path, name):
     """Repeats with over 10,000 other texts, or over 604,800 seconds, between them. The first of a kind isn't cut by
     its command, make all; the repeat's command, git log, cuts."""
